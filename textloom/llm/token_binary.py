@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SharedFiles, fresh_dir
-from .tokens import ByteEncoder, vocabulary_path
+from .tokens import byte_encoder, vocabulary_path
 
 MAGIC = b"TLDAC01\n"
 CHUNK_BITS = 8
@@ -143,7 +143,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     SharedFiles(folder).make()
 
     def write(batches: Iterator[pa.RecordBatch]):
-        files, encoder = SharedFiles(folder), ByteEncoder(path)
+        files, encoder = SharedFiles(folder), byte_encoder(path)
         part, number = TaskContext.get().partitionId(), 0
         doc_ids, lengths, held, n = [], [], [], 0
         made = {"part": [], "number": [], "name": [], "n_docs": [], "n_tokens": []}

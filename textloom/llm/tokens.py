@@ -8,6 +8,7 @@ such a cut go to the library whole.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -15,6 +16,7 @@ import numpy as np
 
 #: White space that the pre-tokeniser may take as one run over a cut.
 _JOINS = re.compile(r"\s{3}|\s\s\Z")
+_PLAIN = re.compile(r" \S+")
 
 
 def vocabulary_path(name: str) -> str:
@@ -27,7 +29,7 @@ def vocabulary_path(name: str) -> str:
 class ByteEncoder:
     """Ids of whole texts as the library's ``encode(text, add_special_tokens=False)`` has them."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,20 +41,54 @@ class ByteEncoder:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces.
+
+        Those of one space and one run of other characters are set end to end
+        and encoded together, for no token crosses from one to the next; the
+        places that the library tells for its tokens give each its own.
+        """
+        plain = [p for p in pieces if _PLAIN.fullmatch(p)]
+        for start in range(0, len(plain), 1000):
+            some = plain[start : start + 1000]
+            got = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            ids, first = np.array(got.ids, "<u4"), np.array([o[0] for o in got.offsets])
+            cuts = np.searchsorted(first, np.cumsum([0, *map(len, some)])) * 4
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            self.known.update((p, raw[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
+        rest = [p for p in pieces if p not in self.known]
+        self.known.update(zip(rest, self._whole(rest)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.keep:
             self.known.clear()
         known, cut, missing = self.known, [], set()
         for text in texts:
-            if "\0" in text or _JOINS.search(text) or any(s in text for s in self.specials):
+            if "\0" in text or _joins(text) or any(s in text for s in self.specials):
                 cut.append(None)
                 continue
             pieces = text.replace(" ", "\0 ").split("\0")
-            cut.append(pieces)
-            missing.update(p for p in pieces if p not in known)
-        new = sorted(missing)
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            known.update(zip(some, self._whole(some)))
-        return [self._whole([text])[0] if pieces is None else b"".join([known[p] for p in pieces]) for text, pieces in zip(texts, cut)]
+            got = list(map(known.get, pieces))
+            if None in got:
+                missing.update(p for p, ids in zip(pieces, got) if ids is None)
+                cut.append(pieces)
+            else:
+                cut.append(b"".join(got))
+        self._learn(sorted(missing))
+        return [c if isinstance(c, bytes) else self._whole([text])[0] if c is None else b"".join(map(known.__getitem__, c)) for text, c in zip(texts, cut)]
+
+
+def _joins(text: str) -> bool:
+    """Whether white space may join over a cut; texts without two white space characters in a row are told fast."""
+    words = text.split()
+    outer = len(text) - len(text.strip())
+    if outer <= 1 and len(text) - outer - sum(map(len, words)) == len(words) - 1:
+        return False
+    return _JOINS.search(text) is not None
+
+
+@functools.lru_cache(1)
+def byte_encoder(path: str) -> ByteEncoder:
+    """One encoder for all tasks of a process, which so share what it remembers."""
+    return ByteEncoder(path)
