@@ -54,6 +54,15 @@ def test_only_failing_words_are_merged_exactly():
     assert any(own.propose(w) != own.exact(w) for w in words)
 
 
+def test_long_words_merge_alike(monkeypatch):
+    rng = random.Random(2)
+    own = bpe.SpeculativeBpe(WORDS)
+    for k in range(40):
+        symbols = own._symbols("".join(rng.choice("abcaether") for _ in range(60)) if k else "a" * 61)
+        short = own.merged(symbols)
+        assert own._merged_long(list(symbols)) == short
+
+
 class _File(io.BytesIO):
     def read_at(self, n, at):
         return self.getvalue()[at : at + n]

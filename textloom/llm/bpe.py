@@ -17,7 +17,9 @@ are; an empty table gives no rows; other columns pass unread.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import json
 import os
 import re
@@ -32,14 +34,20 @@ from .common import texts_of
 from .tokens import vocabulary_path
 
 #: White space as the vocabulary's patterns have it: str.split() also cuts at four controls.
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
+#: Symbols from which on merging keeps a heap.
+_LONG = 400
+#: ASCII letters and what may follow them, which the patterns cut in two.
+_SIMPLE = re.compile(r"([A-Za-z]+)([!-&(-/:-;=-@\[-`{-~]*)")
+#: The pre-tokeniser's pattern for which that holds.
+_SIMPLE_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class SpeculativeBpe:
     """Encoder and decoder of a vocabulary file of the BPE kind."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,6 +72,9 @@ class SpeculativeBpe:
         self.final = {n[: len(n) - len(self.end)]: i for n, i in self.vocab.items() if n.endswith(self.end)} if self.end else dict(self.vocab)
         self.inner = {n: i for n, i in self.vocab.items() if not self.end or not n.endswith(self.end)}
         self.longest = max(map(len, self.vocab))
+        cuts = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.simple = _SIMPLE_CUT in cuts and steps == ["NFC", "Replace", "Lowercase"]
         self.keep = keep
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -72,14 +83,42 @@ class SpeculativeBpe:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Exact merging: the pair of the lowest rank first, of equal ones the leftmost."""
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            best, at = min((self.ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
-            if best == 1 << 60:
-                break
+        symbols, ranks = list(symbols), self.ranks
+        if len(symbols) > _LONG:
+            return self._merged_long(symbols)
+        none = len(ranks)
+        of = [ranks.get(pair, none) for pair in zip(symbols, symbols[1:])]
+        while of and (best := min(of)) < none:
+            at = of.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del of[at]
+            if at:
+                of[at - 1] = ranks.get((symbols[at - 1], symbols[at]), none)
+            if at < len(of):
+                of[at] = ranks.get((symbols[at], symbols[at + 1]), none)
         return symbols
 
+    def _merged_long(self, symbols: list[str | None]) -> list[str]:
+        """The same with a heap and links, in time n log n."""
+        n, ranks = len(symbols), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranks[pair], i, *pair) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != left or j >= n or symbols[j] != right:
+                continue
+            symbols[i], symbols[j] = left + right, None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (pair := (symbols[i], symbols[after[i]])) in ranks:
+                    heapq.heappush(heap, (ranks[pair], i, *pair))
+            if before[i] >= 0 and (pair := (symbols[before[i]], symbols[i])) in ranks:
+                heapq.heappush(heap, (ranks[pair], before[i], *pair))
+        return [s for s in symbols if s is not None]
+
     def _symbols(self, word: str) -> list[str]:
         return [*word[:-1], word[-1] + self.end]
 
@@ -148,6 +187,8 @@ class SpeculativeBpe:
 
     def _words_of(self, chunk: str) -> list[str | int]:
         """Byte-level words of a chunk, and the ids of special tokens between them."""
+        if self.simple and (m := _SIMPLE.fullmatch(chunk)):
+            return [m[1].lower(), m[2]] if m[2] else [m[1].lower()]
         out: list[str | int] = []
         at = 0
         for found in [*self._specials.finditer(chunk), None]:
@@ -167,8 +208,10 @@ class SpeculativeBpe:
             self.chunks.clear()
         if len(self.words) > self.keep:
             self.words.clear()
+        known = self.chunks
         cut = [_SPACE.split(t) if _CONTROLS.search(t) else t.split() for t in texts]
-        missing = sorted({c for chunks in cut for c in chunks if c not in self.chunks})
+        found = [list(map(known.get, chunks)) for chunks in cut]
+        missing = sorted({c for chunks, ids in zip(cut, found) if None in ids for c, i in zip(chunks, ids) if i is None})
         parts = [self._words_of(c) for c in missing]
         new = sorted({w for p in parts for w in p if isinstance(w, str) and w not in self.words})
         for start in range(0, len(new), 8192):
@@ -177,8 +220,7 @@ class SpeculativeBpe:
                 self.words[word] = np.array(ids, "<u4").tobytes()
         for chunk, part in zip(missing, parts):
             self.chunks[chunk] = b"".join([self.words[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in part])
-        known = self.chunks
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        return [b"".join(map(known.__getitem__, chunks) if None in ids else ids) for chunks, ids in zip(cut, found)]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 text of ids: without a decoder in the file, entries joined by spaces."""
@@ -186,12 +228,18 @@ class SpeculativeBpe:
         return b" ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+@functools.lru_cache(1)
+def speculative_bpe(path: str) -> SpeculativeBpe:
+    """One encoder for all tasks of a process, which so share what it remembers."""
+    return SpeculativeBpe(path)
+
+
 def encoded(docs: DataFrame, path: str | None = None, with_text: bool = True) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded text, and with ``with_text`` ids and decoded text."""
     path = path or vocabulary_path("word_bpe_49k.json")
 
     def encode(batches: Iterator[pa.RecordBatch]):
-        bpe = SpeculativeBpe(path)
+        bpe = speculative_bpe(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
