@@ -16,6 +16,11 @@ import numpy as np
 
 #: White space that the pre-tokeniser may take as one run over a cut.
 _JOINS = re.compile(r"\s{3}|\s\s\Z")
+#: White space other than space and line end.
+_RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_RARE = _RARE_ASCII + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Letters of Latin scripts and a tail without letters, numbers and apostrophes.
+_TAILED = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
 _PLAIN = re.compile(r" \S+")
 
 
@@ -44,46 +49,65 @@ class ByteEncoder:
     def _learn(self, pieces: list[str]) -> None:
         """Encodes new pieces.
 
-        Those of one space and one run of other characters are set end to end
-        and encoded together, for no token crosses from one to the next; the
-        places that the library tells for its tokens give each its own.
+        Letters and a tail of marks are always tokens of their own, so such a
+        piece is made of its two parts, which are seldom new.  Pieces of one
+        space and one run of other characters are set end to end and encoded
+        together, for no token crosses from one to the next; the places that
+        the library tells for its tokens give each its own.
         """
-        plain = [p for p in pieces if _PLAIN.fullmatch(p)]
+        known, parts, new = self.known, {}, set()
+        for p in pieces:
+            if m := _TAILED.fullmatch(p):
+                parts[p] = (m[1], m[2])
+                new.update(x for x in m.groups() if x not in known)
+            else:
+                new.add(p)
+        plain, rest = [], []
+        for p in sorted(new):
+            (plain if _PLAIN.fullmatch(p) else rest).append(p)
         for start in range(0, len(plain), 1000):
             some = plain[start : start + 1000]
             got = self.tokenizer.encode("".join(some), add_special_tokens=False)
             ids, first = np.array(got.ids, "<u4"), np.array([o[0] for o in got.offsets])
             cuts = np.searchsorted(first, np.cumsum([0, *map(len, some)])) * 4
             raw, cuts = ids.tobytes(), cuts.tolist()
-            self.known.update((p, raw[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
-        rest = [p for p in pieces if p not in self.known]
-        self.known.update(zip(rest, self._whole(rest)))
+            known.update((p, raw[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
+        known.update(zip(rest, self._whole(rest)))
+        known.update((p, known[a] + known[b]) for p, (a, b) in parts.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.keep:
             self.known.clear()
-        known, cut, missing = self.known, [], set()
+        known, found, missing = self.known, [], set()
         for text in texts:
             if "\0" in text or _joins(text) or any(s in text for s in self.specials):
-                cut.append(None)
+                found.append(None)
                 continue
             pieces = text.replace(" ", "\0 ").split("\0")
             got = list(map(known.get, pieces))
-            if None in got:
-                missing.update(p for p, ids in zip(pieces, got) if ids is None)
-                cut.append(pieces)
-            else:
-                cut.append(b"".join(got))
+            holes, at = [], -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                holes.append((at, pieces[at]))
+            missing.update(p for _, p in holes)
+            found.append((got, holes))
         self._learn(sorted(missing))
-        return [c if isinstance(c, bytes) else self._whole([text])[0] if c is None else b"".join(map(known.__getitem__, c)) for text, c in zip(texts, cut)]
+        out = []
+        for text, made in zip(texts, found):
+            if made is None:
+                out += self._whole([text])
+                continue
+            got, holes = made
+            for at, piece in holes:
+                got[at] = known[piece]
+            out.append(b"".join(got))
+        return out
 
 
 def _joins(text: str) -> bool:
-    """Whether white space may join over a cut; texts without two white space characters in a row are told fast."""
-    words = text.split()
-    outer = len(text) - len(text.strip())
-    if outer <= 1 and len(text) - outer - sum(map(len, words)) == len(words) - 1:
+    """Whether white space may join over a cut; texts with lone spaces and line ends are told fast."""
+    if "  " not in text and "\n " not in text and " \n" not in text and "\n\n" not in text and not any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE)):
         return False
     return _JOINS.search(text) is not None
 
