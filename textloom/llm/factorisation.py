@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, crc_mod, texts_of
+from .common import bounded_sample, bucket, crc_mod, texts_of
 
 #: Labelled rows that the machine is fitted on, at most.
 MAX_TRAINING = 6000
@@ -83,13 +83,17 @@ class Features:
         known = self.buckets
         if len(known) > self.keep:
             known.clear()
-        for w in counts.keys() - known.keys():
-            known[w] = bucket(w, WORD_BITS)
-        index = np.fromiter((known[w] for w in counts), "i4", len(counts))
+        places = list(map(known.get, counts))
+        if None in places:
+            for w, place in zip(counts, places):
+                if place is None:
+                    known[w] = bucket(w, WORD_BITS)
+            places = list(map(known.__getitem__, counts))
+        index = np.array(places, "i4")
         values = np.log1p(np.fromiter(counts.values(), "f4", len(counts)))
         values /= max(1e-6, float(np.sqrt((values * values).sum())))
-        places = (1 << WORD_BITS) + np.arange(_STATS, dtype="i4") * _BINS + np.array(stats, "i4")
-        return np.concatenate([index, places]), np.concatenate([values, np.full(_STATS, 0.5, "f4")])
+        extra = (1 << WORD_BITS) + np.arange(_STATS, dtype="i4") * _BINS + np.array(stats, "i4")
+        return np.concatenate([index, extra]), np.concatenate([values, np.full(_STATS, 0.5, "f4")])
 
 
 def scores(model: dict, index: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -144,18 +148,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING)
     """Inputs and label of the bounded sample; only its ids and inputs reach the driver."""
     modulus, out = HELD_OUT
     usable = labels.filter("doc_id is not null and quality is not null").filter(crc_mod("doc_id", modulus) != out)
-    sample = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(limit).select(F.col("doc_id").alias("_id"), "quality")
+    sample = bounded_sample(usable.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality")), "_id", limit)
     picked = _inputs(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "n_chars", "quality")  # at most ``limit`` pairs of numbers
 
     def features(batches: Iterator[pa.RecordBatch]):
         made = Features()
         for batch in batches:
             rows = [made.of(t, n) for t, n in zip(texts_of(batch), batch.column("n_chars").to_pylist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "index": pa.array([r[0].tobytes() for r in rows], pa.binary()), "vals": pa.array([r[1].tobytes() for r in rows], pa.binary()), "quality": batch.column("quality")})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "places": pa.array([r[0].tobytes() for r in rows], pa.binary()), "vals": pa.array([r[1].tobytes() for r in rows], pa.binary()), "quality": batch.column("quality")})
 
-    rows = picked.mapInArrow(features, "doc_id long, index binary, vals binary, quality int").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.index))
-    return [(np.frombuffer(r.index, "i4"), np.frombuffer(r.vals, "f4"), int(r.quality > 0)) for r in rows]
+    rows = picked.mapInArrow(features, "doc_id long, places binary, vals binary, quality int").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.places))
+    return [(np.frombuffer(r.places, "i4"), np.frombuffer(r.vals, "f4"), int(r.quality > 0)) for r in rows]
 
 
 def _inputs(docs: DataFrame) -> DataFrame:

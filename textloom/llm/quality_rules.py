@@ -1,10 +1,11 @@
 """Operator 6: quality rules by a hashed n-gram likelihood ratio.
 
 Two multinomials over hashed byte n-grams are counted: one of a trusted target
-(the documents that ``labels`` marks as good), one of the whole raw corpus.  A
-document's score is its mean log-likelihood ratio per n-gram; it is kept if the
-score reaches a fixed threshold and the base rules hold.  The counts cover all
-documents and are vectors of fixed length.
+(documents that ``labels`` marks as good, at most ``MAX_TARGET`` of them, those
+with the smallest hashes of doc_id), one of the whole raw corpus.  A document's
+score is its mean log-likelihood ratio per n-gram; it is kept if the score
+reaches a fixed threshold and the base rules hold.  The raw counts cover all
+documents; both are vectors of fixed length, and no text is shuffled.
 
 Defined results: null and empty texts have no words, so they fail the base
 rule (score 0); repeated rows are scored each and count each; nulls in labels
@@ -21,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import summed, texts_of
+from .common import bounded_sample, summed, texts_of
 
+#: Documents of the trusted target, at most.
+MAX_TARGET = 20_000
 BITS = 16
 GRAM = 4
 #: Mean natural-log ratio per n-gram below which a document is dropped.
@@ -68,10 +71,10 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def fit_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Log ratio of every bucket: add-one smoothed target over raw, from all documents."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    marked = docs.join(good, F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("good"))
+def fit_ratios(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET) -> np.ndarray:
+    """Log ratio of every bucket: add-one smoothed target over raw, the raw counts from all documents."""
+    good = bounded_sample(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct(), "_good", max_target)
+    marked = docs.join(F.broadcast(good), F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("good"))  # at most max_target numbers
     size = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
