@@ -11,10 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, token_binary, warc
+from . import bpe, factorisation, pseudonyms, quality_rules, token_binary, warc
 from .common import table
 
 
+def op2_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorisation.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_digests(table(spark, sf_dir, "documents"))
 
@@ -27,14 +31,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), with_text=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_factorisation": op2_factorisation,
     "op3_token_binary": op3_token_binary,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op7_pseudonyms": op7_pseudonyms,
     "op10_bpe": op10_bpe,
 }
 
