@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, factorisation, pseudonyms, quality_rules, token_binary, warc
+from . import bpe, factorisation, lattice, pseudonyms, quality_rules, token_binary, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_pseudonyms": op7_pseudonyms,
+    "op9_lattice": op9_lattice,
     "op10_bpe": op10_bpe,
 }
 
