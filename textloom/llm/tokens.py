@@ -1,9 +1,9 @@
 """Encoding of whole texts with a byte-level BPE file, one distinct piece at a time.
 
-The file's own library makes the ids.  A text is first cut at single spaces,
-places that no token of a byte-level vocabulary crosses, and each distinct
-piece is handed to the library once; texts whose white space could join over
-such a cut go to the library whole.
+The file's own library makes the ids.  A text is first cut before single spaces
+and around single line ends, places that no token of a byte-level vocabulary
+crosses, and each distinct piece is handed to the library once; texts with two
+white space characters in a row go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ import re
 import numpy as np
 
 #: White space that the pre-tokeniser may take as one run over a cut.
-_JOINS = re.compile(r"\s{3}|\s\s\Z")
+_JOINS = re.compile(r"\s\s")
 #: White space other than space and line end.
 _RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _RARE = _RARE_ASCII + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Letters of Latin scripts and a tail without letters, numbers and apostrophes.
 _TAILED = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
-_PLAIN = re.compile(r" \S+")
+_RUN = re.compile(r" ?\S+")
 
 
 def vocabulary_path(name: str) -> str:
@@ -41,37 +41,41 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep, self.known = keep, {}
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max(names.values()) + 2, "i8")
+        for name, i in names.items():
+            self.lengths[i] = len(name)  # a byte is one character of a byte-level entry
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         """Encodes new pieces.
 
         Letters and a tail of marks are always tokens of their own, so such a
-        piece is made of its two parts, which are seldom new.  Pieces of one
-        space and one run of other characters are set end to end and encoded
-        together, for no token crosses from one to the next; the places that
-        the library tells for its tokens give each its own.
+        piece is made of its two parts, which are seldom new.  Runs without
+        white space are set end to end, those without a space before them
+        behind a line end, and encoded together: no token crosses from one to
+        the next, and as tokens keep every byte, their lengths tell whose they
+        are.
         """
         known, parts, new = self.known, {}, set()
         for p in pieces:
             if m := _TAILED.fullmatch(p):
-                parts[p] = (m[1], m[2])
-                new.update(x for x in m.groups() if x not in known)
+                parts[p] = pair = m.groups()
+                new.update(x for x in pair if x not in known)
             else:
                 new.add(p)
-        plain, rest = [], []
-        for p in sorted(new):
-            (plain if _PLAIN.fullmatch(p) else rest).append(p)
-        for start in range(0, len(plain), 1000):
-            some = plain[start : start + 1000]
-            got = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            ids, first = np.array(got.ids, "<u4"), np.array([o[0] for o in got.offsets])
-            cuts = np.searchsorted(first, np.cumsum([0, *map(len, some)])) * 4
+        runs = [p if p[0] == " " else "\n" + p for p in new if _RUN.fullmatch(p)]
+        rest = [p for p in new if not _RUN.fullmatch(p)]
+        for start in range(0, len(runs), 2000):
+            some = runs[start : start + 2000]
+            ids = np.frombuffer(self._whole(["".join(some)])[0], "<u4")
+            ends = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(ends, np.cumsum([0, *(len(p.encode("utf-8", "surrogatepass")) for p in some)]), "right") * 4
             raw, cuts = ids.tobytes(), cuts.tolist()
-            known.update((p, raw[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
+            known.update((p, raw[a:b]) if p[0] == " " else (p[1:], raw[a + 4 : b]) for p, a, b in zip(some, cuts, cuts[1:]))
         known.update(zip(rest, self._whole(rest)))
         known.update((p, known[a] + known[b]) for p, (a, b) in parts.items())
 
@@ -84,7 +88,7 @@ class ByteEncoder:
             if "\0" in text or _joins(text) or any(s in text for s in self.specials):
                 found.append(None)
                 continue
-            pieces = text.replace(" ", "\0 ").split("\0")
+            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
             got = list(map(known.get, pieces))
             holes, at = [], -1
             for _ in range(got.count(None)):
@@ -92,7 +96,7 @@ class ByteEncoder:
                 holes.append((at, pieces[at]))
             missing.update(p for _, p in holes)
             found.append((got, holes))
-        self._learn(sorted(missing))
+        self._learn(missing)
         out = []
         for text, made in zip(texts, found):
             if made is None:
@@ -106,10 +110,10 @@ class ByteEncoder:
 
 
 def _joins(text: str) -> bool:
-    """Whether white space may join over a cut; texts with lone spaces and line ends are told fast."""
-    if "  " not in text and "\n " not in text and " \n" not in text and "\n\n" not in text and not any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE)):
-        return False
-    return _JOINS.search(text) is not None
+    """Whether the text has white space characters in a row; lone spaces and line ends are told fast."""
+    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+        return True
+    return any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE)) and _JOINS.search(text) is not None
 
 
 @functools.lru_cache(1)
