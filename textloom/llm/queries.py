@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, factorisation, lattice, pseudonyms, quality_rules, token_binary, warc
+from . import bpe, factorisation, lattice, near_duplicates, pseudonyms, quality_rules, token_binary, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.scored(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_pseudonyms": op7_pseudonyms,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_lattice": op9_lattice,
     "op10_bpe": op10_bpe,
 }
