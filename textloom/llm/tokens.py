@@ -3,7 +3,7 @@
 The file's own library makes the ids.  A text is first cut before single spaces
 and around single line ends, places that no token of a byte-level vocabulary
 crosses, and each distinct piece is handed to the library once; texts with two
-white space characters in a row go to the library whole.
+white space characters in a row, or others than those, go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: White space that the pre-tokeniser may take as one run over a cut.
-_JOINS = re.compile(r"\s\s")
-#: White space other than space and line end.
-_RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: White space other than space and line end, and the mark of cuts.
+_RARE_ASCII = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _RARE = _RARE_ASCII + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Letters of Latin scripts and a tail without letters, numbers and apostrophes.
 _TAILED = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
-_RUN = re.compile(r" ?\S+")
+#: Characters of text that are cut at once.
+_AT_ONCE = 4_000_000
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 def vocabulary_path(name: str) -> str:
@@ -34,7 +36,7 @@ def vocabulary_path(name: str) -> str:
 class ByteEncoder:
     """Ids of whole texts as the library's ``encode(text, add_special_tokens=False)`` has them."""
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,58 +64,77 @@ class ByteEncoder:
         """
         known, parts, new = self.known, {}, set()
         for p in pieces:
-            if m := _TAILED.fullmatch(p):
-                parts[p] = pair = m.groups()
-                new.update(x for x in pair if x not in known)
+            if p[-1:] in _MARKS and (m := _TAILED.fullmatch(p)):
+                parts[p] = m.groups()
             else:
                 new.add(p)
-        runs = [p if p[0] == " " else "\n" + p for p in new if _RUN.fullmatch(p)]
-        rest = [p for p in new if not _RUN.fullmatch(p)]
+        for pair in parts.values():
+            new.update(pair)
+        new -= known.keys() & new
+        special = new & {"", "\n"}
+        runs = [p if p[0] == " " else "\n" + p for p in new - special]
         for start in range(0, len(runs), 2000):
             some = runs[start : start + 2000]
             ids = np.frombuffer(self._whole(["".join(some)])[0], "<u4")
             ends = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(ends, np.cumsum([0, *(len(p.encode("utf-8", "surrogatepass")) for p in some)]), "right") * 4
-            raw, cuts = ids.tobytes(), cuts.tolist()
-            known.update((p, raw[a:b]) if p[0] == " " else (p[1:], raw[a + 4 : b]) for p, a, b in zip(some, cuts, cuts[1:]))
-        known.update(zip(rest, self._whole(rest)))
-        known.update((p, known[a] + known[b]) for p, (a, b) in parts.items())
+            cuts = (np.searchsorted(ends, np.cumsum([0, *map(len, map(str.encode, some))]), "right") * 4).tolist()
+            raw = ids.tobytes()
+            for p, a, b in zip(some, cuts, cuts[1:]):
+                if p[0] == " ":
+                    known[p] = raw[a:b]
+                else:
+                    known[p[1:]] = raw[a + 4 : b]
+        known.update(zip(special, self._whole(list(special))))
+        for p, (a, b) in parts.items():
+            known[p] = known[a] + known[b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        some, size = [], 0
+        for k, text in enumerate(texts):
+            if _joins(text) or any(s in text for s in self.specials):
+                out[k] = self._whole([text])[0]
+            else:
+                some.append(k)
+                size += len(text)
+            if some and (size >= _AT_ONCE or k == len(texts) - 1):
+                for place, ids in zip(some, self._cut([texts[i] for i in some])):
+                    out[place] = ids
+                some, size = [], 0
+        if some:
+            for place, ids in zip(some, self._cut([texts[i] for i in some])):
+                out[place] = ids
+        return out
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """The same for texts without white space in a row: Arrow cuts them and tells the distinct pieces."""
         if len(self.known) > self.keep:
             self.known.clear()
-        known, found, missing = self.known, [], set()
-        for text in texts:
-            if "\0" in text or _joins(text) or any(s in text for s in self.specials):
-                found.append(None)
-                continue
-            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            got = list(map(known.get, pieces))
-            holes, at = [], -1
-            for _ in range(got.count(None)):
-                at = got.index(None, at + 1)
-                holes.append((at, pieces[at]))
-            missing.update(p for _, p in holes)
-            found.append((got, holes))
-        self._learn(missing)
-        out = []
-        for text, made in zip(texts, found):
-            if made is None:
-                out += self._whole([text])
-                continue
-            got, holes = made
-            for at, piece in holes:
-                got[at] = known[piece]
-            out.append(b"".join(got))
-        return out
+        known = self.known
+        marked = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(marked, "\0")
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        found = list(map(known.get, pieces))
+        if None in found:
+            self._learn({p for p, ids in zip(pieces, found) if ids is None})
+            found = list(map(known.__getitem__, pieces))
+        lengths = np.fromiter(map(len, found), "i8", len(found)) // 4
+        starts = np.cumsum(lengths) - lengths
+        flat = np.frombuffer(b"".join(found), "<u4")
+        at = coded.indices.to_numpy()
+        each = lengths[at]
+        ends = np.cumsum(each)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - each), each)]
+        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy()] * 4
+        raw, cuts = ids.tobytes(), cuts.tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _joins(text: str) -> bool:
-    """Whether the text has white space characters in a row; lone spaces and line ends are told fast."""
-    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
-        return True
-    return any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE)) and _JOINS.search(text) is not None
+    """Whether the text has white space in a row, or other than lone spaces and line ends."""
+    return "  " in text or "\n " in text or " \n" in text or "\n\n" in text or any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE))
 
 
 @functools.lru_cache(1)
