@@ -229,6 +229,19 @@ def word_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches, for words are worked on by length."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def learnt(words: DataFrame, model_path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Natural logs of the pieces' weights after the rounds; only a vector of fixed length reaches the driver."""
     own = lattice(model_path)
@@ -239,7 +252,7 @@ def learnt(words: DataFrame, model_path: str, rounds: int = EM_ROUNDS) -> np.nda
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> np.ndarray:
             model, logs = lattice(model_path), shared.value
             counts = np.zeros(len(logs))
-            for batch in batches:
+            for batch in _larger(batches):
                 texts, weights = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype("f8")
                 ends = [k for k, w in enumerate(texts) if w == END]
                 for k in ends:
@@ -268,7 +281,7 @@ def scored(docs: DataFrame, model_path: str | None = None, head: int = HEAD) ->
 
     def weigh(batches: Iterator[pa.RecordBatch]):
         model = lattice(model_path)
-        for batch in batches:
+        for batch in _larger(batches):
             texts, counts = batch.column("word").to_pylist(), batch.column("c")
             ends = [k for k, w in enumerate(texts) if w == END]
             for k in ends:
@@ -279,9 +292,9 @@ def scored(docs: DataFrame, model_path: str | None = None, head: int = HEAD) ->
             yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": counts, "base": pa.array(base), "lattice": pa.array(found / math.log(10))})
 
     weights_of = spark.sparkContext.broadcast(logs)  # a vector of fixed length
-    weighed = words.mapInArrow(weigh, "word string, c long, base double, lattice double")
+    weighed = lambda some: some.mapInArrow(weigh, "word string, c long, base double, lattice double")
     least = max(1, -(-n // head))
-    common = weighed.filter((F.col("c") >= least) | (F.col("word") == END)).collect()  # at most ``head`` words and the end: their counts sum to n or less
+    common = weighed(words.filter((F.col("c") >= least) | (F.col("word") == END))).collect()  # at most ``head`` words and the end: their counts sum to n or less
     shared = spark.sparkContext.broadcast({r["word"].encode("utf-8", "surrogatepass"): (r["c"] > 0, r["base"], r["lattice"]) for r in common})
 
     def read(batches: Iterator[pa.RecordBatch]):
@@ -322,7 +335,7 @@ def scored(docs: DataFrame, model_path: str | None = None, head: int = HEAD) ->
 
     read_schema = "doc_id long, held_out boolean, text_hash long, copies long, word string, tf long, n_tokens long, n_known long, base double, lattice double"
     spread = rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(read, read_schema)
-    rare = weighed.filter((F.col("c") < least) & (F.col("word") != END)).select(F.col("word").alias("of"), (F.col("c") > 0).cast("long").alias("of_known"), F.col("base").alias("of_base"), F.col("lattice").alias("of_lattice"))
+    rare = weighed(words.filter((F.col("c") < least) & (F.col("word") != END))).select(F.col("word").alias("of"), (F.col("c") > 0).cast("long").alias("of_known"), F.col("base").alias("of_base"), F.col("lattice").alias("of_lattice"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     summed_up = (
         spread.join(rare, F.col("word") == F.col("of"), "left")
