@@ -8,13 +8,14 @@ similarity.  Documents that agree in all rows of a band meet in a bucket, and
 the exact weighted Jaccard similarity of those brought together decides.
 
 Texts with equal words are one node.  A bucket is never expanded into pairs: in
-each round all its members are measured against a pivot.  Weighted Jaccard
-distance is a metric, so a member that is near its pivot, and nearer by more
-than the threshold than any member that is not, can have no link but to members
-already joined with it: it leaves the bucket, as does the pivot.  Rounds go on,
-with more pivots each, until no bucket has two members, so no link between
-members of a bucket is lost and a group of near copies takes one round.  The
-links are joined to components by alternating large and small stars.
+each round all its members are measured against a pivot, and the links found are
+joined to components by alternating large and small stars.  Weighted Jaccard
+distance is a metric, so a member of the pivot's component that is nearer to it,
+by more than the threshold, than any member of another component can have no
+link to those: it leaves the bucket, as does the pivot.  A bucket is done when
+its members are of one component.  Rounds go on, with more pivots each, until
+all are done, so no link between members of a bucket is lost, and a group of
+near copies takes a round or two.
 
 Document frequencies are counted over all documents in a table of fixed size
 (2 ** ``DF_BITS`` buckets), which bounds what is broadcast; a bucket's share of
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, summed, texts_of
+from .common import normal_words, staged, summed, texts_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -49,12 +50,6 @@ _NUMBERS = BANDS * ROWS
 _AT_ONCE = 32_768
 #: Nodes up to which a list of them is broadcast; beyond, it is joined.
 BROADCAST_NODES = 200_000
-_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def normal_words(text: str) -> list[bytes]:
-    """Words in lower case without marks at their ends."""
-    return [w for w in (w.strip(_MARKS) for w in text.lower().encode("utf-8", "surrogatepass").split()) if w]
 
 
 def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,46 +213,51 @@ def _measured(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def links(members: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs of nodes of at least the similarity, enough to join all that meet in a bucket."""
+    """a and b, its component's smallest node, for all that meet in buckets and are joined by the similarity."""
     reach = 1 - similarity + 1e-9
     nodes = members.filter(F.size("bands") > 0).groupBy("node").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"))
     placed = staged(nodes.select("node", "row.doc_id", "row.text_hash", F.explode("bands").alias("bucket")), "placed")
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     meeting = staged(placed.join(shared, "bucket"), "meeting")
     contents = staged(_contents(docs, meeting.select("node", "doc_id", "text_hash").distinct(), idf), "contents")
-    open_rows = meeting.select("bucket", "node")
-    found: DataFrame | None = None
+    open_rows = meeting.select("bucket", "node", F.col("node").alias("part"))
+    found = docs.sparkSession.createDataFrame([], "a binary, b binary")
     turn = 0
     while not open_rows.isEmpty():
-        pivots_each = 1 if turn < 2 else min(64, 2 ** (turn - 1))
-        order = F.xxhash64(F.lit(turn), "bucket", "node")
+        pivots_each = min(64, 2 ** max(0, turn - 1))
+        # Pivots are of other components than a bucket's largest, so that a straggler is measured once against all.
+        sizes = open_rows.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
         slot = F.pmod(F.xxhash64(F.lit(-1 - turn), "node"), F.lit(pivots_each))
-        pivots = open_rows.groupBy("bucket", slot.alias("slot")).agg(F.min_by("node", order).alias("pivot")).drop("slot")
-        against = staged(open_rows.join(pivots, "bucket"), "against")
-        pairs = against.filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        distances = staged(_measured(pairs, contents), "distances")
+        pivots = open_rows.join(largest, "bucket").filter("part != largest").groupBy("bucket", slot.alias("slot")).agg(F.min_by(F.struct("node", "part"), F.xxhash64(F.lit(turn), "bucket", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.part").alias("pivot_part"))
+        against = staged(open_rows.join(pivots, "bucket").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}), "against")
+        distances = staged(_measured(against.filter("node != pivot").select("a", "b").distinct(), contents), "distances")
+        known = staged(against.join(distances, ["a", "b"], "left").select("bucket", "node", "part", "pivot", "pivot_part", F.coalesce("distance", F.lit(0.0)).alias("distance")), "known")
         near = distances.filter(F.col("distance") <= reach).select("a", "b")
-        found = near if found is None else found.union(near)
-        known = against.withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(distances, ["a", "b"], "left").select("bucket", "node", "pivot", F.coalesce("distance", F.lit(0.0)).alias("distance"))
-        known = staged(known, "known")
-        # Of each pivot, the least distance of a member that isn't near it.
-        beyond = known.filter(F.col("distance") > reach).groupBy("bucket", "pivot").agg(F.min("distance").alias("beyond"))
-        judged = known.join(beyond, ["bucket", "pivot"], "left").groupBy("bucket", "node").agg(F.max((F.col("node") == F.col("pivot")) | ((F.col("distance") <= reach) & (F.col("beyond").isNull() | (F.col("distance") < F.col("beyond") - reach)))).alias("settled"))
-        left = judged.filter("not settled").select("bucket", "node")
-        several = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+        found = components(found.union(near))
+        named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
+        # Of each pivot, the least distance of a member of another component as they are now.
+        now = known.join(named, F.col("node") == F.col("of"), "left").drop("part", "of").withColumn("part", F.coalesce("root", "node")).drop("root")
+        now = now.join(named, F.col("pivot") == F.col("of"), "left").drop("pivot_part", "of").withColumn("pivot_part", F.coalesce("root", "pivot")).drop("root")
+        now = staged(now, "now")
+        beyond = now.filter("part != pivot_part").groupBy("bucket", "pivot").agg(F.min("distance").alias("beyond"))
+        settled = (F.col("node") == F.col("pivot")) | ((F.col("part") == F.col("pivot_part")) & (F.col("beyond").isNull() | (F.col("distance") < F.col("beyond") - reach)))
+        judged = now.join(beyond, ["bucket", "pivot"], "left").groupBy("bucket", "node", "part").agg(F.max(settled).alias("settled"))
+        left = judged.filter("not settled").select("bucket", "node", "part")
+        several = left.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x != y").select("bucket")
         open_rows = staged(left.join(several, "bucket"), "open")
         turn += 1
-    return found if found is not None else docs.sparkSession.createDataFrame([], "a binary, b binary")
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root, its component's smallest node, for every node with an edge that isn't itself the root."""
+    """a and b, its component's smallest node, for every node with an edge that isn't itself the smallest."""
     now = staged(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if before == tuple(state):
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return now.toDF("a", "b")
         before = tuple(state)
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
@@ -274,7 +274,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     idf = document_weights(rows)
     members = staged(_members(rows, idf), "members")
-    roots = components(links(members, rows, idf, similarity)).withColumnRenamed("node", "of")
+    roots = links(members, rows, idf, similarity).toDF("of", "root")
     # Nodes first: copies of a text are as one, so that a large group meets as few rows as it has texts.
     nodes = members.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     rooted = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
@@ -290,6 +290,9 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     the text, and of equal rows one.
     """
     found = classes(docs, similarity)
-    first = found.groupBy("class_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("text_hash"))).alias("_hash")).select(F.col("class_id").alias("_id"), "_hash")
-    kept = docs.join(first, docs.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("_hash"))).drop("_id", "_hash")
-    return kept.dropDuplicates(["doc_id"])
+    first = found.groupBy("class_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("text_hash"))).alias("hash"))
+    key = lambda c: [F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")), F.col(c).isNull()]
+    names = ["_textloom_id", "_textloom_null", "_textloom_hash"]
+    wanted = first.select(*(c.alias(n) for c, n in zip([*key("class_id"), F.col("hash")], names)))
+    keyed = docs.withColumns(dict(zip(names, [*key("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))])))
+    return keyed.join(wanted, names).dropDuplicates(names).select(*docs.columns)
