@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,15 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+#: Marks that may stand at the ends of words.
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def normal_words(text: str) -> list[bytes]:
+    """Words in lower case without marks at their ends."""
+    return list(filter(None, map(bytes.strip, text.lower().encode("utf-8", "surrogatepass").split(), repeat(_MARKS))))
+
+
 def bucket(data: bytes, bits: int) -> int:
     """A stable hash of some bytes to ``bits`` bits."""
     return (zlib.crc32(data) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits)

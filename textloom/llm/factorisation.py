@@ -167,6 +167,33 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", n_chars.alias("n_chars"))
 
 
+def _scored(batch: pa.RecordBatch, model: dict, fitted: bool, made: Features) -> np.ndarray:
+    out = []
+    n_chars = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * batch.num_rows
+    texts = texts_of(batch)
+    for at in range(0, batch.num_rows, 128):
+        parts = [made.of(t, n) for t, n in zip(texts[at : at + 128], n_chars[at : at + 128])]
+        logit = scores(model, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array([len(p[0]) for p in parts]))
+        out.append(1 / (1 + np.exp(-np.clip(logit.astype("f8"), -30, 30))))
+    found = np.concatenate(out) if out else np.zeros(0)
+    return found if fitted else np.full(len(found), 0.5)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, whole, whose score reaches the threshold (all of them where nothing was learnt)."""
+    rows = training_rows(docs, labels)
+    if not rows:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows))  # of fixed size
+
+    def keep(batches: Iterator[pa.RecordBatch]):
+        made = Features()
+        for batch in batches:
+            yield batch.filter(pa.array(_scored(batch, shared.value, True, made) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     spark = docs.sparkSession
@@ -177,15 +204,7 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def score(batches: Iterator[pa.RecordBatch]):
         model, made = shared.value, Features()
         for batch in batches:
-            out = []
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
-                parts = [made.of(t, n) for t, n in zip(texts_of(some), some.column("n_chars").to_pylist())]
-                logit = scores(model, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array([len(p[0]) for p in parts]))
-                out.append(1 / (1 + np.exp(-np.clip(logit.astype("f8"), -30, 30))))
-            found = np.concatenate(out) if out else np.zeros(0)
-            if not fitted:
-                found = np.full(len(found), 0.5)
+            found = _scored(batch, model, fitted, made)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(found), "predicted": pa.array((found >= threshold).astype("i4"))})
 
     modulus, out = HELD_OUT

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, factorisation, lattice, near_duplicates, pseudonyms, quality_rules, token_binary, warc
+from . import bpe, decontamination, factorisation, lattice, near_duplicates, pseudonyms, quality_rules, token_binary, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -50,6 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_factorisation": op2_factorisation,
     "op3_token_binary": op3_token_binary,
+    "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_pseudonyms": op7_pseudonyms,
