@@ -11,10 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, factorisation, lattice, near_duplicates, pseudonyms, quality_rules, token_binary, warc
+from . import bpe, decontamination, factorisation, html_text, lattice, near_duplicates, pseudonyms, quality_rules, token_binary, warc
 from .common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op2_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorisation.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_factorisation": op2_factorisation,
     "op3_token_binary": op3_token_binary,
     "op4_decontamination": op4_decontamination,
