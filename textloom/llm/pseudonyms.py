@@ -318,3 +318,19 @@ def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
 
     schema = "doc_id long, text string, n_pii int, " + ", ".join(f"n_{k} int" for k in KINDS)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(replace, schema)
+
+
+def replaced(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+    """The rows of ``docs``, whole, with pseudonyms in their texts and n_chars, where there is one, to match."""
+
+    def replace(batches: Iterator[pa.RecordBatch]):
+        own = Pseudonymiser(key)
+        for batch in batches:
+            texts = [own.replaced(t)[0] if t else t for t in batch.column("text").to_pylist()]
+            columns = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                new["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, columns["n_chars"].to_pylist())], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([new.get(name, column) for name, column in columns.items()], list(columns))
+
+    return docs.mapInArrow(replace, docs.schema)
