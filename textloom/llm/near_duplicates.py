@@ -15,7 +15,8 @@ by more than the threshold, than any member of another component can have no
 link to those: it leaves the bucket, as does the pivot.  A bucket is done when
 its members are of one component.  Rounds go on, with more pivots each, until
 all are done, so no link between members of a bucket is lost, and a group of
-near copies takes a round or two.
+near copies takes a round or two.  Bands are worked on in waves, and buckets
+that are of one component by then are done before they begin.
 
 Document frequencies are counted over all documents in a table of fixed size
 (2 ** ``DF_BITS`` buckets), which bounds what is broadcast; a bucket's share of
@@ -48,6 +49,8 @@ DF_BITS = 17
 _NUMBERS = BANDS * ROWS
 #: Shingles that are drawn from at once.
 _AT_ONCE = 32_768
+#: Bands in the order in which they are worked on: what the first has joined, the others need not measure.
+WAVES = [[0], [1, 2], [3, 4, 5, 6, 7, 8, 9]]
 #: Nodes up to which a list of them is broadcast; beyond, it is joined.
 BROADCAST_NODES = 200_000
 
@@ -216,12 +219,26 @@ def links(members: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: floa
     """a and b, its component's smallest node, for all that meet in buckets and are joined by the similarity."""
     reach = 1 - similarity + 1e-9
     nodes = members.filter(F.size("bands") > 0).groupBy("node").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"))
-    placed = staged(nodes.select("node", "row.doc_id", "row.text_hash", F.explode("bands").alias("bucket")), "placed")
+    placed = staged(nodes.select("node", "row.doc_id", "row.text_hash", F.posexplode("bands").alias("band", "bucket")), "placed")
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     meeting = staged(placed.join(shared, "bucket"), "meeting")
     contents = staged(_contents(docs, meeting.select("node", "doc_id", "text_hash").distinct(), idf), "contents")
-    open_rows = meeting.select("bucket", "node", F.col("node").alias("part"))
     found = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    for wave in WAVES:
+        named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
+        rows = meeting.filter(F.col("band").isin(wave)).join(named, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
+        found = _settled(_open(rows), contents, found, reach)
+    return found
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of those buckets that hold more than one component."""
+    several = rows.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x != y").select("bucket")
+    return staged(rows.join(several, "bucket"), "open")
+
+
+def _settled(open_rows: DataFrame, contents: DataFrame, found: DataFrame, reach: float) -> DataFrame:
+    """``found`` with what the buckets of ``open_rows`` add to it."""
     turn = 0
     while not open_rows.isEmpty():
         pivots_each = min(64, 2 ** max(0, turn - 1))
@@ -244,8 +261,7 @@ def links(members: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: floa
         settled = (F.col("node") == F.col("pivot")) | ((F.col("part") == F.col("pivot_part")) & (F.col("beyond").isNull() | (F.col("distance") < F.col("beyond") - reach)))
         judged = now.join(beyond, ["bucket", "pivot"], "left").groupBy("bucket", "node", "part").agg(F.max(settled).alias("settled"))
         left = judged.filter("not settled").select("bucket", "node", "part")
-        several = left.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x != y").select("bucket")
-        open_rows = staged(left.join(several, "bucket"), "open")
+        open_rows = _open(left)
         turn += 1
     return found
 
