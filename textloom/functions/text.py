@@ -53,8 +53,7 @@ def ngrams(tokens: Column, n: int, glue: str = " ") -> Column:
 def char_ngrams(text: Column, n: int) -> Column:
     """Character n-grams of a text without white space."""
     plain = F.regexp_replace(text, r"[ \t\n\r\f\x0b]+", "")
-    made = F.transform(F.sequence(F.lit(1), F.length(plain) - n + 1), lambda i: F.substring(plain, i, F.lit(n)))
-    return F.when(F.length(plain) >= n, made).otherwise(F.array().cast("array<string>"))
+    return ngrams(F.filter(F.split(plain, ""), lambda c: c != ""), n, "")
 
 
 #: Plurals that follow no rule, and words without one.
