@@ -44,10 +44,16 @@ def words(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int, glue: str = " ") -> Column:
-    """All runs of n tokens, joined."""
-    spans = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-    made = F.transform(spans, lambda i: F.array_join(F.slice(tokens, i, n), glue))
-    return F.when(F.size(tokens) >= n, made).otherwise(F.array().cast("array<string>"))
+    """All runs of n tokens, joined.
+
+    Shifted slices are zipped, so that the tokens are computed n times and not
+    anew for every run.
+    """
+    m = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    runs = F.slice(tokens, F.lit(1), m)
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(tokens, F.lit(k + 1), m), lambda a, b: F.concat(a, F.lit(glue), b))
+    return runs
 
 
 def char_ngrams(text: Column, n: int) -> Column:
