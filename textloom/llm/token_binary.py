@@ -162,8 +162,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             doc_ids.clear(), lengths.clear(), held.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
                 encoded = encoder.encode([t or "" for t in some.column("text").to_pylist()])
                 for doc_id, raw in zip(some.column("doc_id").to_pylist(), encoded):
                     doc_ids.append(doc_id)

@@ -1,8 +1,8 @@
 """Encoding of whole texts with a byte-level BPE file, one distinct piece at a time.
 
 The file's own library makes the ids.  A text is first cut before single spaces
-and around single line ends, places that no token of a byte-level vocabulary
-crosses, and each distinct piece is handed to the library once; texts with two
+and around single line ends, and before a comma or full stop between a letter and
+white space, places that no token of a byte-level vocabulary crosses, and each distinct piece is handed to the library once; texts with two
 white space characters in a row, or others than those, go to the library whole.
 """
 
@@ -21,8 +21,10 @@ _RARE_ASCII = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _RARE = _RARE_ASCII + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Letters of Latin scripts and a tail without letters, numbers and apostrophes.
 _TAILED = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
+#: Marks that are cut off where white space follows them.
+_TAILS = (",", ".")
 #: Characters of text that are cut at once.
-_AT_ONCE = 4_000_000
+_AT_ONCE = 10_000_000
 _MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -113,6 +115,8 @@ class ByteEncoder:
             self.known.clear()
         known = self.known
         marked = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), " ", "\0 "), "\n", "\0\n\0")
+        for mark in _TAILS:
+            marked = pc.replace_substring(marked, f"{mark}\0", f"\0{mark}\0")
         lists = pc.split_pattern(marked, "\0")
         coded = lists.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
@@ -124,12 +128,20 @@ class ByteEncoder:
         starts = np.cumsum(lengths) - lengths
         flat = np.frombuffer(b"".join(found), "<u4")
         at = coded.indices.to_numpy()
+        # A mark cut off is a token of its own behind a letter or number only; other texts go to the library whole.
+        closed = np.fromiter((p[-1:].isalnum() for p in pieces), bool, len(pieces))
+        tails = np.isin(at, [k for k, p in enumerate(pieces) if p in _TAILS])
+        offsets = lists.offsets.to_numpy()
+        odd = np.searchsorted(offsets, np.flatnonzero(tails[1:] & ~closed[at[:-1]]) + 1, "right") - 1
         each = lengths[at]
         ends = np.cumsum(each)
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - each), each)]
-        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy()] * 4
+        cuts = np.concatenate([[0], ends])[offsets] * 4
         raw, cuts = ids.tobytes(), cuts.tolist()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k in np.unique(odd).tolist():
+            out[k] = self._whole([texts[k]])[0]
+        return out
 
 
 def _joins(text: str) -> bool:
