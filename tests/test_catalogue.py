@@ -5,8 +5,9 @@ import os
 import pytest
 
 from tests import oracle
-from textloom.plans import catalogue
+from textloom.plans import catalogue, more
 
+assert more  # adds to the catalogue
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 

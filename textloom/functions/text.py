@@ -134,3 +134,80 @@ def is_subsequence(inner: Column, outer: Column) -> Column:
 
     chars = F.filter(F.split(inner, ""), lambda c: c != "")
     return F.aggregate(chars, outer, step).isNotNull()
+
+
+def singulars(word: Column) -> Column:
+    """What a plural may be of: without s, es, or with y for ies."""
+    return F.array_compact(F.array(F.when(word.rlike("ies$"), F.concat(F.regexp_replace(word, "ies$", ""), F.lit("y"))), F.when(word.rlike("es$"), F.regexp_replace(word, "es$", "")), F.when(word.rlike("s$") & ~word.rlike("ss$"), F.regexp_replace(word, "s$", ""))))
+
+
+def chunks(text: Column) -> Column:
+    """Stretches between marks of punctuation, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, r"[.,;:!?()\[\]\"|]+"), lambda c: F.trim(c)), lambda c: c != "")
+
+
+def snippet(text: Column, needle: Column, width: int) -> Column:
+    """The text ``width`` characters to either side of the first match, null without one."""
+    at = F.instr(text, needle)
+    return F.when(at > 0, F.substring(text, F.greatest(at - width, F.lit(1)), F.length(needle) + F.least(at - 1, F.lit(width)) + width))
+
+
+def script_language(text: Column) -> Column:
+    """ru if Cyrillic letters outnumber Latin ones, else en; null without letters."""
+    cyrillic, latin = F.regexp_count(text, F.lit("[А-Яа-яЁё]")), F.regexp_count(text, F.lit("[A-Za-z]"))
+    return F.when(cyrillic + latin == 0, F.lit(None)).when(cyrillic > latin, F.lit("ru")).otherwise(F.lit("en"))
+
+
+def code_shape(word: Column) -> Column:
+    """What makes a word look like code: call, dotted, snake, flag, annotation, camel or Pascal case; else null."""
+    return (
+        F.when(word.rlike(r"^[A-Za-z_][A-Za-z0-9_.]*\(\)$"), "call")
+        .when(word.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)+$"), "dotted")
+        .when(word.rlike(r"^[a-z0-9]+(_[a-z0-9]+)+$"), "snake")
+        .when(word.rlike(r"^--?[a-z][a-z-]*$"), "flag")
+        .when(word.rlike(r"^@[A-Z][A-Za-z]*$"), "annotation")
+        .when(word.rlike(r"^[a-z]+([A-Z][a-z0-9]*)+$"), "camel")
+        .when(word.rlike(r"^([A-Z][a-z0-9]+){2,}$"), "pascal")
+    )
+
+
+def salvaged(reply: Column) -> tuple[Column, Column]:
+    """A model's reply as (text, whether it was good JSON): the field, else what stands behind "text", else the reply."""
+    whole = F.get_json_object(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "$.text")
+    behind = F.nullif(F.regexp_extract(reply, r'(?s)"text"\s*:\s*"(.*?)"?\s*\}?\s*$', 1), F.lit(""))
+    return F.coalesce(whole, behind, F.trim(reply)), whole.isNotNull()
+
+
+def prompt(*lines: tuple[Column, Column]) -> Column:
+    """Lines whose condition holds, in order."""
+    return F.array_join(F.array_compact(F.array(*[F.when(condition, line) for condition, line in lines])), "\n")
+
+
+def font_family(name: Column) -> Column:
+    """A font's name without the prefix of a subset."""
+    return F.regexp_replace(name, r"^[^+]*\+", "")
+
+
+def heading_number(text: Column) -> Column:
+    """The number a heading begins with, such as 5.4.1 or A.2; null without one."""
+    return F.nullif(F.regexp_extract(text, r"^\s*((?:[A-Z]|[0-9]+)(?:\.[0-9]+)+|[0-9]+)\b", 1), F.lit(""))
+
+
+def page_references(entry: Column) -> Column:
+    """Page numbers and ranges at the end of an index entry."""
+    return F.regexp_extract_all(F.regexp_extract(entry, r",\s*([0-9][0-9,\s\-–]*)$", 1), F.lit(r"([0-9]+(?:[-–][0-9]+)?)"), 1)
+
+
+def invisible_removed(text: Column) -> Column:
+    """Without characters of the format category."""
+    return F.regexp_replace(text, r"\p{Cf}", "")
+
+
+def unquoted(text: Column) -> Column:
+    """Without one pair of quotes around the whole."""
+    return F.regexp_replace(text, r'^\s*["“«](.*)["”»]\s*$', "$1")
+
+
+def packed_logprobs(tokens: Column, floor: float = 0.5) -> Column:
+    """(token, logp, alt) lists of which the alternative stays only where the token's probability is below the floor."""
+    return F.transform(tokens, lambda t: F.struct(t["token"].alias("token"), F.round(t["logp"], 3).alias("logp"), F.when(F.exp(t["logp"]) < floor, t["alt"]).alias("alt")))
