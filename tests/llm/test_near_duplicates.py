@@ -14,7 +14,7 @@ def corpus():
     vocabulary = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ar", "eng", "ost", "ul", "ith", "ave", "ing", "ond")]
     new = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     texts = []
-    for _ in range(30):
+    for _ in range(12):
         base = new(150)
         texts.append(" ".join(base))
         for k in range(rng.randrange(0, 4)):
@@ -23,12 +23,12 @@ def corpus():
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             texts.append(" ".join(copy).capitalize() + ".")
     chain = new(200)
-    for k in range(12):  # neighbours are near, ends are not
+    for k in range(8):  # neighbours are near, ends are not
         texts.append(" ".join(chain))
         chain = chain[:]
         chain[k * 15 : k * 15 + 3] = new(3)
     big = new(120)
-    for k in range(60):
+    for k in range(40):
         copy = list(big)
         copy[k] = "changed"
         texts.append(" ".join(copy))

@@ -7,16 +7,16 @@ two documents draw the same one with a probability of their weighted Jaccard
 similarity.  Documents that agree in all rows of a band meet in a bucket, and
 the exact weighted Jaccard similarity of those brought together decides.
 
-Texts with equal words are one node.  A bucket is never expanded into pairs: in
-each round all its members are measured against a pivot, and the links found are
-joined to components by alternating large and small stars.  Weighted Jaccard
-distance is a metric, so a member of the pivot's component that is nearer to it,
-by more than the threshold, than any member of another component can have no
-link to those: it leaves the bucket, as does the pivot.  A bucket is done when
-its members are of one component.  Rounds go on, with more pivots each, until
-all are done, so no link between members of a bucket is lost, and a group of
-near copies takes a round or two.  Bands are worked on in waves, and buckets
-that are of one component by then are done before they begin.
+Texts with equal words are one node.  A large bucket is never expanded into
+pairs: its members are measured against pivots, and the links found are joined
+to components by alternating large and small stars.  First a few pivots of the
+largest component gather most of the others, of the first band alone before all
+bands come in; then each member that still is of another component is measured
+against those that are not of its own, and leaves the bucket, until all that
+are left are of one component.  Weighted Jaccard distance is a metric: pairs
+whose distances to the bucket's first pivot differ by more than the threshold
+are passed over.  So no link between members of a bucket is lost, and a group of
+near copies takes a few rounds whatever its size.
 
 Document frequencies are counted over all documents in a table of fixed size
 (2 ** ``DF_BITS`` buckets), which bounds what is broadcast; a bucket's share of
@@ -49,8 +49,8 @@ DF_BITS = 17
 _NUMBERS = BANDS * ROWS
 #: Shingles that are drawn from at once.
 _AT_ONCE = 32_768
-#: Bands in the order in which they are worked on: what the first has joined, the others need not measure.
-WAVES = [[0], [1, 2], [3, 4, 5, 6, 7, 8, 9]]
+#: Members up to which all of a bucket are pivots at once.
+SMALL = 16
 #: Nodes up to which a list of them is broadcast; beyond, it is joined.
 BROADCAST_NODES = 200_000
 
@@ -224,10 +224,10 @@ def links(members: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: floa
     meeting = staged(placed.join(shared, "bucket"), "meeting")
     contents = staged(_contents(docs, meeting.select("node", "doc_id", "text_hash").distinct(), idf), "contents")
     found = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    for wave in WAVES:
+    for bands, most_turns in ((meeting.filter("band = 0"), 1), (meeting, None)):
         named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
-        rows = meeting.filter(F.col("band").isin(wave)).join(named, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
-        found = _settled(_open(rows), contents, found, reach)
+        rows = bands.join(named, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("part"), F.lit(None).cast("double").alias("first"))
+        found = _settled(_open(rows), contents, found, reach, most_turns)
     return found
 
 
@@ -237,31 +237,43 @@ def _open(rows: DataFrame) -> DataFrame:
     return staged(rows.join(several, "bucket"), "open")
 
 
-def _settled(open_rows: DataFrame, contents: DataFrame, found: DataFrame, reach: float) -> DataFrame:
-    """``found`` with what the buckets of ``open_rows`` add to it."""
+def _settled(rows: DataFrame, contents: DataFrame, found: DataFrame, reach: float, most_turns: int | None) -> DataFrame:
+    """``found`` with what the buckets of ``rows`` (bucket, node, part, first) add to it.
+
+    ``first`` is the distance to a bucket's first pivot, where it was measured:
+    two members whose distances to it differ by more than the threshold cannot
+    be linked.
+    """
     turn = 0
-    while not open_rows.isEmpty():
-        pivots_each = min(64, 2 ** max(0, turn - 1))
-        # Pivots are of other components than a bucket's largest, so that a straggler is measured once against all.
-        sizes = open_rows.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
-        slot = F.pmod(F.xxhash64(F.lit(-1 - turn), "node"), F.lit(pivots_each))
-        pivots = open_rows.join(largest, "bucket").filter("part != largest").groupBy("bucket", slot.alias("slot")).agg(F.min_by(F.struct("node", "part"), F.xxhash64(F.lit(turn), "bucket", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.part").alias("pivot_part"))
-        against = staged(open_rows.join(pivots, "bucket").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}), "against")
-        distances = staged(_measured(against.filter("node != pivot").select("a", "b").distinct(), contents), "distances")
-        known = staged(against.join(distances, ["a", "b"], "left").select("bucket", "node", "part", "pivot", "pivot_part", F.coalesce("distance", F.lit(0.0)).alias("distance")), "known")
+    while (most_turns is None or turn < most_turns) and not rows.isEmpty():
+        sizes = rows.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+        each = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("n"))
+        # Early turns let members of a large bucket's largest component find the others; then each of the others is measured against all, and leaves.
+        small = F.col("n") <= SMALL
+        final = small | F.lit(turn >= 2)
+        pivots_each = F.when(small, 4 * SMALL).otherwise(F.lit([1, 4, 16][turn] if turn < 3 else 64))
+        chosen = rows.join(each, "bucket").withColumn("final", final).filter((F.col("part") != F.col("largest")) == F.col("final"))
+        slot = F.pmod(F.xxhash64(F.lit(-1 - turn), "node"), pivots_each)
+        pivots = chosen.groupBy("bucket", "final", slot.alias("slot")).agg(F.min_by(F.struct("node", "part", "first"), F.xxhash64(F.lit(turn), "bucket", "node")).alias("p"))
+        pivots = staged(pivots.select("bucket", "final", F.col("p.node").alias("pivot"), F.col("p.part").alias("pivot_part"), F.col("p.first").alias("pivot_first")), "pivots")
+        able = F.coalesce(F.abs(F.col("first") - F.col("pivot_first")) <= reach, F.lit(True))
+        against = rows.join(pivots, "bucket").filter((F.col("part") != F.col("pivot_part")) & able)
+        pairs = against.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        distances = staged(_measured(pairs, contents), "distances")
         near = distances.filter(F.col("distance") <= reach).select("a", "b")
-        found = components(found.union(near))
+        if not near.isEmpty():
+            found = components(found.union(near))
+        if most_turns is not None and turn + 1 >= most_turns:
+            break
+        if turn == 0:
+            lone = pivots.filter("not final").select("bucket", "pivot")
+            to_pivot = rows.join(lone, "bucket").select("bucket", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).join(distances, ["a", "b"], "left")
+            first = to_pivot.select("bucket", "node", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("first"))
+            rows = rows.drop("first").join(first, ["bucket", "node"], "left")
+        gone = pivots.filter("final").select("bucket", F.col("pivot").alias("node"))
         named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
-        # Of each pivot, the least distance of a member of another component as they are now.
-        now = known.join(named, F.col("node") == F.col("of"), "left").drop("part", "of").withColumn("part", F.coalesce("root", "node")).drop("root")
-        now = now.join(named, F.col("pivot") == F.col("of"), "left").drop("pivot_part", "of").withColumn("pivot_part", F.coalesce("root", "pivot")).drop("root")
-        now = staged(now, "now")
-        beyond = now.filter("part != pivot_part").groupBy("bucket", "pivot").agg(F.min("distance").alias("beyond"))
-        settled = (F.col("node") == F.col("pivot")) | ((F.col("part") == F.col("pivot_part")) & (F.col("beyond").isNull() | (F.col("distance") < F.col("beyond") - reach)))
-        judged = now.join(beyond, ["bucket", "pivot"], "left").groupBy("bucket", "node", "part").agg(F.max(settled).alias("settled"))
-        left = judged.filter("not settled").select("bucket", "node", "part")
-        open_rows = _open(left)
+        left = rows.join(gone, ["bucket", "node"], "left_anti").join(named, F.col("node") == F.col("of"), "left")
+        rows = _open(left.select("bucket", "node", F.coalesce("root", "node").alias("part"), "first"))
         turn += 1
     return found
 
