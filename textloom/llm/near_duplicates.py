@@ -1,7 +1,7 @@
 """Operator 8: near-duplicates by consistent weighted sampling.
 
 A document is the set of its shingles of ``WORDS`` words, each weighted by its
-count in the text times the inverse document frequency of its hash bucket.
+count in the text times the damped inverse document frequency of its bucket.
 Improved consistent weighted sampling draws ``BANDS * ROWS`` shingles, so that
 two documents draw the same one with a probability of their weighted Jaccard
 similarity.  Documents that agree in all rows of a band meet in a bucket, and
@@ -46,6 +46,9 @@ SIMILARITY = 0.8
 BANDS = 10
 ROWS = 4
 DF_BITS = 17
+#: How much a shingle that no other document has outweighs one that all have: edits to a text
+#: with thousands of copies are rare shingles among frequent ones, and must not part it from them.
+DAMPED = 0.25
 _NUMBERS = BANDS * ROWS
 #: Shingles that are drawn from at once.
 _AT_ONCE = 32_768
@@ -129,7 +132,9 @@ def document_weights(docs: DataFrame) -> np.ndarray:
         return total
 
     counts = summed(docs.select("text"), count, size + 1)
-    return np.log1p(max(1.0, counts[size]) / np.maximum(counts[:size], 1.0)).astype("f4")
+    n = max(1.0, counts[size])
+    rarity = np.log1p(n / np.maximum(counts[:size], 1.0)) / np.log1p(n)
+    return (1 + DAMPED * rarity).astype("f4")
 
 
 def _members(docs: DataFrame, idf: np.ndarray) -> DataFrame:
