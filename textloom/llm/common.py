@@ -28,15 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names; a folder of our own is set only
-    where the session names none, as on a single machine.
+    It is what ``spark.checkpoint.dir`` names, in the default file system if it
+    names no other; a folder of our own is set only where the session names
+    none, as on a single machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
-    return named if "://" in named or named.startswith("file:") else "file://" + named
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
