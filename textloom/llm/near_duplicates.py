@@ -15,7 +15,8 @@ bands come in; then each member that still is of another component is measured
 against those that are not of its own, and leaves the bucket, until all that
 are left are of one component.  Weighted Jaccard distance is a metric: pairs
 whose distances to the bucket's first pivot differ by more than the threshold
-are passed over.  So no link between members of a bucket is lost, and a group of
+are passed over, as are those that cannot overlap enough, because shingles that
+no other member has make up too much of one.  So no link between members of a bucket is lost, and a group of
 near copies takes a few rounds whatever its size.
 
 Document frequencies are counted over all documents in a table of fixed size
@@ -229,13 +230,32 @@ def links(members: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: floa
     meeting = staged(placed.join(shared, "bucket"), "meeting")
     contents = staged(_contents(docs, meeting.select("node", "doc_id", "text_hash").distinct(), idf), "contents")
     found = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    large = meeting.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("bucket")
+    sums = staged(_sums(contents, meeting.join(large, "bucket", "left_semi").select("node").distinct()), "sums")
+    meeting = meeting.join(sums.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("band", "bucket", "node", "total", "common")
     for bands, most_turns in ((meeting.filter("band = 0"), 1), (meeting, None)):
         named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
-        rows = bands.join(named, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("part"), F.lit(None).cast("double").alias("first"))
+        rows = bands.join(named, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("part"), F.lit(None).cast("double").alias("first"), "total", "common")
         found = _settled(_open(rows), contents, found, reach, most_turns)
     return found
 
 
+def _sums(contents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, total weight, and the weight it has in common with any other of the nodes: a bound on all its overlaps."""
+
+    def spread(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for node, codes, weights in zip(*[batch.column(c).to_pylist() for c in ("node", "codes", "weights")]):
+                own = np.frombuffer(codes, "i8")
+                yield pa.RecordBatch.from_pydict({"node": pa.array([node] * len(own), pa.binary()), "code": pa.array(own), "weight": pa.array(np.frombuffer(weights, "f4").astype("f8"))})
+
+    each = contents.join(nodes, "node", "left_semi").select("node", "codes", "weights").mapInArrow(spread, "node binary, code long, weight double")
+    by_code = each.groupBy("code").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight"))
+    alone = by_code.filter("n = 1").groupBy("node").agg(F.sum("weight").alias("alone")).withColumnRenamed("node", "of")
+    totals = each.groupBy("node").agg(F.sum("weight").alias("total"))
+    return totals.join(alone, F.col("node") == F.col("of"), "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("common"))
+
+
 def _open(rows: DataFrame) -> DataFrame:
     """The rows of those buckets that hold more than one component."""
     several = rows.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x != y").select("bucket")
@@ -243,7 +263,7 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def _settled(rows: DataFrame, contents: DataFrame, found: DataFrame, reach: float, most_turns: int | None) -> DataFrame:
-    """``found`` with what the buckets of ``rows`` (bucket, node, part, first) add to it.
+    """``found`` with what the buckets of ``rows`` (bucket, node, part, first, total, common) add to it.
 
     ``first`` is the distance to a bucket's first pivot, where it was measured:
     two members whose distances to it differ by more than the threshold cannot
@@ -259,10 +279,12 @@ def _settled(rows: DataFrame, contents: DataFrame, found: DataFrame, reach: floa
         pivots_each = F.when(small, 4 * SMALL).otherwise(F.lit([1, 4, 16][turn] if turn < 3 else 64))
         chosen = rows.join(each, "bucket").withColumn("final", final).filter((F.col("part") != F.col("largest")) == F.col("final"))
         slot = F.pmod(F.xxhash64(F.lit(-1 - turn), "node"), pivots_each)
-        pivots = chosen.groupBy("bucket", "final", slot.alias("slot")).agg(F.min_by(F.struct("node", "part", "first"), F.xxhash64(F.lit(turn), "bucket", "node")).alias("p"))
-        pivots = staged(pivots.select("bucket", "final", F.col("p.node").alias("pivot"), F.col("p.part").alias("pivot_part"), F.col("p.first").alias("pivot_first")), "pivots")
+        pivots = chosen.groupBy("bucket", "final", slot.alias("slot")).agg(F.min_by(F.struct("node", "part", "first", "total", "common"), F.xxhash64(F.lit(turn), "bucket", "node")).alias("p"))
+        pivots = staged(pivots.select("bucket", "final", F.col("p.node").alias("pivot"), F.col("p.part").alias("pivot_part"), F.col("p.first").alias("pivot_first"), F.col("p.total").alias("pivot_total"), F.col("p.common").alias("pivot_common")), "pivots")
         able = F.coalesce(F.abs(F.col("first") - F.col("pivot_first")) <= reach, F.lit(True))
-        against = rows.join(pivots, "bucket").filter((F.col("part") != F.col("pivot_part")) & able)
+        both = F.least("common", "pivot_common")
+        enough = F.coalesce(both >= (1 - reach) * (F.col("total") + F.col("pivot_total") - both), F.lit(True))
+        against = rows.join(pivots, "bucket").filter((F.col("part") != F.col("pivot_part")) & able & enough)
         pairs = against.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         distances = staged(_measured(pairs, contents), "distances")
         near = distances.filter(F.col("distance") <= reach).select("a", "b")
@@ -278,7 +300,7 @@ def _settled(rows: DataFrame, contents: DataFrame, found: DataFrame, reach: floa
         gone = pivots.filter("final").select("bucket", F.col("pivot").alias("node"))
         named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
         left = rows.join(gone, ["bucket", "node"], "left_anti").join(named, F.col("node") == F.col("of"), "left")
-        rows = _open(left.select("bucket", "node", F.coalesce("root", "node").alias("part"), "first"))
+        rows = _open(left.select("bucket", "node", F.coalesce("root", "node").alias("part"), "first", "total", "common"))
         turn += 1
     return found
 
