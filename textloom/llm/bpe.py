@@ -47,7 +47,7 @@ _SIMPLE_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class SpeculativeBpe:
     """Encoder and decoder of a vocabulary file of the BPE kind."""
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -181,7 +181,7 @@ class SpeculativeBpe:
             good[good] = np.logical_and.reduceat(passed, np.concatenate([[0], ends[:-1] + 1]))
         self.checked_words += len(words)
         self.exact_words += int((~good).sum())
-        if len(self.pairs) > 4 * self.keep:
+        if len(self.pairs) > self.keep:
             self.pairs.clear()
         return [p if ok else self.exact(w) for w, p, ok in zip(words, proposals, good)]
 
@@ -206,7 +206,7 @@ class SpeculativeBpe:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
         if len(self.chunks) > self.keep:
             self.chunks.clear()
-        if len(self.words) > self.keep:
+        if 2 * len(self.words) > self.keep:
             self.words.clear()
         known = self.chunks
         cut = [_SPACE.split(t) if _CONTROLS.search(t) else t.split() for t in texts]

@@ -53,6 +53,8 @@ DAMPED = 0.25
 _NUMBERS = BANDS * ROWS
 #: Shingles that are drawn from at once.
 _AT_ONCE = 32_768
+#: Parts of the shingles by hash, in each of which an overlap is bounded by the lesser weight.
+PLACES = 64
 #: Members up to which all of a bucket are pivots at once.
 SMALL = 16
 #: Nodes up to which a list of them is broadcast; beyond, it is joined.
@@ -231,7 +233,7 @@ def links(members: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: floa
     contents = staged(_contents(docs, meeting.select("node", "doc_id", "text_hash").distinct(), idf), "contents")
     found = docs.sparkSession.createDataFrame([], "a binary, b binary")
     large = meeting.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("bucket")
-    sums = staged(_sums(contents, meeting.join(large, "bucket", "left_semi").select("node").distinct()), "sums")
+    sums = staged(_sums(contents, meeting.join(large, "bucket", "left_semi").select("node", F.col("node").alias("part")).distinct()), "sums")
     meeting = meeting.join(sums.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("band", "bucket", "node", "total", "common")
     for bands, most_turns in ((meeting.filter("band = 0"), 1), (meeting, None)):
         named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
@@ -240,20 +242,24 @@ def links(members: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: floa
     return found
 
 
-def _sums(contents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, total weight, and the weight it has in common with any other of the nodes: a bound on all its overlaps."""
+def _sums(contents: DataFrame, parts: DataFrame) -> DataFrame:
+    """node, total weight, and by place the weight of what occurs in another part too: a bound on overlaps with other parts.
+
+    parts: node and part, the component that it is of.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for node, codes, weights in zip(*[batch.column(c).to_pylist() for c in ("node", "codes", "weights")]):
+            for node, part, codes, weights in zip(*[batch.column(c).to_pylist() for c in ("node", "part", "codes", "weights")]):
                 own = np.frombuffer(codes, "i8")
-                yield pa.RecordBatch.from_pydict({"node": pa.array([node] * len(own), pa.binary()), "code": pa.array(own), "weight": pa.array(np.frombuffer(weights, "f4").astype("f8"))})
+                yield pa.RecordBatch.from_pydict({"node": pa.array([node] * len(own), pa.binary()), "part": pa.array([part] * len(own), pa.binary()), "code": pa.array(own), "weight": pa.array(np.frombuffer(weights, "f4").astype("f8"))})
 
-    each = contents.join(nodes, "node", "left_semi").select("node", "codes", "weights").mapInArrow(spread, "node binary, code long, weight double")
-    by_code = each.groupBy("code").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight"))
-    alone = by_code.filter("n = 1").groupBy("node").agg(F.sum("weight").alias("alone")).withColumnRenamed("node", "of")
-    totals = each.groupBy("node").agg(F.sum("weight").alias("total"))
-    return totals.join(alone, F.col("node") == F.col("of"), "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("common"))
+    each = contents.join(parts, "node").select("node", "part", "codes", "weights").mapInArrow(spread, "node binary, part binary, code long, weight double")
+    by_code = each.groupBy("code").agg(F.min("part").alias("x"), F.max("part").alias("y")).select(F.col("code").alias("of"), (F.col("x") != F.col("y")).alias("several"))
+    place = F.pmod(F.col("code"), F.lit(PLACES)).cast("int")
+    placed = each.join(by_code, F.col("code") == F.col("of")).groupBy("node", place.alias("h")).agg(F.sum("weight").alias("t"), F.sum(F.when(F.col("several"), F.col("weight")).otherwise(0.0)).alias("c"))
+    joined = placed.groupBy("node").agg(F.sum("t").alias("total"), F.map_from_entries(F.collect_list(F.struct("h", "c"))).alias("m"))
+    return joined.select("node", "total", F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0.0))).alias("common"))
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -282,7 +288,7 @@ def _settled(rows: DataFrame, contents: DataFrame, found: DataFrame, reach: floa
         pivots = chosen.groupBy("bucket", "final", slot.alias("slot")).agg(F.min_by(F.struct("node", "part", "first", "total", "common"), F.xxhash64(F.lit(turn), "bucket", "node")).alias("p"))
         pivots = staged(pivots.select("bucket", "final", F.col("p.node").alias("pivot"), F.col("p.part").alias("pivot_part"), F.col("p.first").alias("pivot_first"), F.col("p.total").alias("pivot_total"), F.col("p.common").alias("pivot_common")), "pivots")
         able = F.coalesce(F.abs(F.col("first") - F.col("pivot_first")) <= reach, F.lit(True))
-        both = F.least("common", "pivot_common")
+        both = F.aggregate(F.zip_with("common", "pivot_common", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
         enough = F.coalesce(both >= (1 - reach) * (F.col("total") + F.col("pivot_total") - both), F.lit(True))
         against = rows.join(pivots, "bucket").filter((F.col("part") != F.col("pivot_part")) & able & enough)
         pairs = against.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
@@ -301,6 +307,11 @@ def _settled(rows: DataFrame, contents: DataFrame, found: DataFrame, reach: floa
         named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
         left = rows.join(gone, ["bucket", "node"], "left_anti").join(named, F.col("node") == F.col("of"), "left")
         rows = _open(left.select("bucket", "node", F.coalesce("root", "node").alias("part"), "first", "total", "common"))
+        if turn in (1, 3):
+            # By now much is joined, and what occurs in one component only can't be in common with others.
+            large = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("bucket")
+            sums = _sums(contents, rows.join(large, "bucket", "left_semi").select("node", "part").distinct())
+            rows = staged(rows.drop("total", "common").join(sums, "node", "left").select("bucket", "node", "part", "first", "total", "common"), "bounded")
         turn += 1
     return found
 
