@@ -232,9 +232,7 @@ def links(members: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: floa
     meeting = staged(placed.join(shared, "bucket"), "meeting")
     contents = staged(_contents(docs, meeting.select("node", "doc_id", "text_hash").distinct(), idf), "contents")
     found = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    large = meeting.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("bucket")
-    sums = staged(_sums(contents, meeting.join(large, "bucket", "left_semi").select("node", F.col("node").alias("part")).distinct()), "sums")
-    meeting = meeting.join(sums.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("band", "bucket", "node", "total", "common")
+    meeting = staged(_bounded(meeting.select("band", "bucket", "node", F.col("node").alias("part")), contents, reach).drop("part"), "bounded")
     for bands, most_turns in ((meeting.filter("band = 0"), 1), (meeting, None)):
         named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
         rows = bands.join(named, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("part"), F.lit(None).cast("double").alias("first"), "total", "common")
@@ -262,6 +260,21 @@ def _sums(contents: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.select("node", "total", F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0.0))).alias("common"))
 
 
+def _bounded(rows: DataFrame, contents: DataFrame, reach: float) -> DataFrame:
+    """Rows with total and common for the members of large buckets, null for the others.
+
+    A member of a large bucket that has too little in common with all the others
+    together can be linked with none and is left out.
+    """
+    large = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("bucket")
+    wide = rows.join(large, "bucket", "left_semi")
+    sums = staged(_sums(contents, wide.select("node", "part").distinct()), "sums")
+    most = F.aggregate("common", F.lit(0.0), lambda x, y: x + y)
+    kept = wide.join(sums, "node").filter(most >= (1 - reach) * F.col("total"))
+    rest = rows.join(large, "bucket", "left_anti").withColumns({"total": F.lit(None).cast("double"), "common": F.lit(None).cast("array<double>")})
+    return kept.unionByName(rest)
+
+
 def _open(rows: DataFrame) -> DataFrame:
     """The rows of those buckets that hold more than one component."""
     several = rows.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x != y").select("bucket")
@@ -282,7 +295,7 @@ def _settled(rows: DataFrame, contents: DataFrame, found: DataFrame, reach: floa
         # Early turns let members of a large bucket's largest component find the others; then each of the others is measured against all, and leaves.
         small = F.col("n") <= SMALL
         final = small | F.lit(turn >= 2)
-        pivots_each = F.when(small, 4 * SMALL).otherwise(F.lit([1, 4, 16][turn] if turn < 3 else 64))
+        pivots_each = F.when(small, 4 * SMALL).otherwise(F.lit(4 ** min(turn, 10)))
         chosen = rows.join(each, "bucket").withColumn("final", final).filter((F.col("part") != F.col("largest")) == F.col("final"))
         slot = F.pmod(F.xxhash64(F.lit(-1 - turn), "node"), pivots_each)
         pivots = chosen.groupBy("bucket", "final", slot.alias("slot")).agg(F.min_by(F.struct("node", "part", "first", "total", "common"), F.xxhash64(F.lit(turn), "bucket", "node")).alias("p"))
@@ -309,9 +322,7 @@ def _settled(rows: DataFrame, contents: DataFrame, found: DataFrame, reach: floa
         rows = _open(left.select("bucket", "node", F.coalesce("root", "node").alias("part"), "first", "total", "common"))
         if turn in (1, 3):
             # By now much is joined, and what occurs in one component only can't be in common with others.
-            large = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("bucket")
-            sums = _sums(contents, rows.join(large, "bucket", "left_semi").select("node", "part").distinct())
-            rows = staged(rows.drop("total", "common").join(sums, "node", "left").select("bucket", "node", "part", "first", "total", "common"), "bounded")
+            rows = _open(_bounded(rows.drop("total", "common"), contents, reach))
         turn += 1
     return found
 
