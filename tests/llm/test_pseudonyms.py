@@ -63,6 +63,31 @@ def test_what_is_not_valid_stays():
         assert OWN.replaced(text) == (text, []), value
 
 
+def test_no_phone_address_or_card_stays_in_clear():
+    values = {
+        "phone": ["+1 (017) 555-7713", "+1 (132) 555-1352", "(415) 155-2671", "015-055-2671", "+10000000000"],
+        "ip": ["233.254.104.120", "255.255.255.255", "0.1.2.3", "10.1.2.3", "127.8.0.9", "008.8.8.8", "192.168.001.010"],
+        "card": ["0810992847249404", "0810 9928 4724 9404"],
+    }
+    for kind, some in values.items():
+        for value in some:
+            made, spans = OWN.replaced(f"Before {value} after {value}, and.")
+            assert [s[2] for s in spans] == [kind, kind] and value not in made, value
+            new = spans[0][3]
+            assert [s[2] for s in OWN.replaced(f"x {new} y")[1]] == [kind], (value, new)
+            if kind != "ip":
+                assert re.sub(r"[0-9]", "0", new) == re.sub(r"[0-9]", "0", value)
+    assert OWN.value("phone", "+1 (017) 555-7713").startswith("+1 (")
+    numbers = {f"+1 ({a:03d}) {b:03d}-0000" for a in range(0, 1000, 7) for b in range(0, 1000, 13)}
+    assert len({OWN.value("phone", n) for n in numbers}) == len(numbers)
+    addresses = {f"{a}.{b}.3.4" for a in range(256) for b in range(0, 256, 51)}
+    assert len({OWN.value("ip", a) for a in addresses}) == len(addresses)
+    cards = {f"0{k:014d}{c}" for k in range(40) for c in range(10) if p.luhn(f"0{k:014d}{c}")}
+    made = {OWN.value("card", c) for c in cards}
+    assert len(made) == 40 and all(c[0] == "0" and p.luhn(c) for c in made)
+    assert OWN.value("ip", "008.8.8.8").lstrip("0") == OWN.value("ip", "8.8.8.8")
+
+
 def test_rows(spark):
     value, card = VALUES["email"][0], VALUES["card"][0]
     long = "clean words here. " * 20_000 + card

@@ -4,8 +4,10 @@ Numbers and dates that pass their own validation (check digits, calendar,
 numbering plans) are put through a keyed Feistel permutation of the set of
 valid values of their format: the result has the same length, separators and
 classes of characters, passes the same validation, and equal values have equal
-pseudonyms in every document.  Addresses of e-mail and hexadecimal or prefixed
-secrets are permuted in the same way, class by class.
+pseudonyms in every document.  Ten-digit numbers outside the numbering plan,
+cards with a leading 0 and addresses that aren't public are permuted among
+themselves.  Addresses of e-mail and hexadecimal or prefixed secrets are
+permuted in the same way, class by class.
 
 Defined results: null texts stay null, empty ones empty; text without a
 validated value comes back as it was, however long; rows are handled each for
@@ -119,10 +121,13 @@ def _email(feistel: Feistel, text: str) -> str:
 
 def _card(feistel: Feistel, text: str) -> str | None:
     digits = re.sub(r"[^0-9]", "", text)
-    if not 13 <= len(digits) <= 19 or not luhn(digits) or digits[0] == "0":
+    if not 13 <= len(digits) <= 19 or not luhn(digits):
         return None
     size, least = 10 ** (len(digits) - 1), 10 ** (len(digits) - 2)
-    body = str(feistel.walk(int(digits[:-1]), size, "card", lambda v: v >= least))
+    if digits[0] == "0":
+        body = f"{feistel.once(int(digits[:-1]), least, 'card'):0{len(digits) - 1}d}"
+    else:
+        body = str(feistel.walk(int(digits[:-1]), size, "card", lambda v: v >= least))
     return _with_digits(text, next(body + c for c in "0123456789" if luhn(body + c)))
 
 
@@ -150,24 +155,42 @@ def _iban(feistel: Feistel, text: str) -> str | None:
     return "".join(c if c == " " else next(made) for c in text)
 
 
+#: Addresses that every machine or network has alike, and that stay.
+_SAME_EVERYWHERE = frozenset((0x7F000001, 0x0A000001))
+
+
 def _public(value: int) -> bool:
     return value >> 24 not in (0, 10, 127) and value >> 24 < 224
 
 
+def _other(value: int) -> bool:
+    return not _public(value) and value not in _SAME_EVERYWHERE
+
+
 def _ip(feistel: Feistel, text: str) -> str | None:
-    parts = [int(p) for p in text.split(".")]
-    value = int.from_bytes(bytes(parts), "big") if max(parts) < 256 else 0
-    if not _public(value) or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
+    """Public addresses among themselves, and the others; octets with leading zeros keep their width."""
+    parts = text.split(".")
+    if max(map(int, parts)) > 255:
         return None
-    return ".".join(map(str, feistel.walk(value, 1 << 32, "ip", _public).to_bytes(4, "big")))
+    value = int.from_bytes(bytes(map(int, parts)), "big")
+    if value in _SAME_EVERYWHERE:
+        return None
+    made = feistel.walk(value, 1 << 32, "ip", _public if _public(value) else _other).to_bytes(4, "big")
+    return ".".join(f"{n:0{len(p)}d}" if p[0] == "0" else str(n) for n, p in zip(made, parts))
+
+
+def _planned(value: int) -> bool:
+    """Whether a ten-digit number's area code and exchange are in the numbering plan."""
+    return value >= 2 * 10**9 and value // 10**6 % 10 > 1
 
 
 def _phone(feistel: Feistel, text: str) -> str | None:
     digits = re.sub(r"[^0-9]", "", text)
     national = digits[1:] if text.startswith("+1") and len(digits) == 11 else digits if len(digits) == 10 and not text.startswith("+") else None
     if national:
-        if national[0] in "01" or national[3] in "01":
-            return None
+        if not _planned(int(national)):
+            value = feistel.walk(int(national), 10**10, "phone", lambda v: not _planned(v))
+            return _with_digits(text, f"{digits[: len(digits) - 10]}{value:010d}")
         area, exchange, line = int(national[:3]) - 200, int(national[3:6]) - 200, int(national[6:])
         value = feistel.once((area * 800 + exchange) * 10_000 + line, 800 * 800 * 10_000, "phone")
         value, line = divmod(value, 10_000)
