@@ -67,6 +67,24 @@ def test_verdicts_against_brute_force(spark):
     assert {r.score for r in q.judged(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_target_covers_all_good_documents(spark):
+    """More labels than were once sampled, whole and in blocks of ids."""
+    n = 20_300
+    rows = [(k, f"text {k * 7919 % 100_003:x}") for k in range(n)] + [(5, "again"), (None, "none"), (n, "not good"), (n + 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(n)] + [(5, 1), (n, 0), (None, 1), (n + 1, 1)], "doc_id long, quality int")
+    size = 1 << q.BITS
+    target, raw = np.zeros(size), np.zeros(size)
+    for doc_id, text in rows:
+        codes = np.concatenate([np.zeros(0, "u4"), *q.gram_buckets((text or "").encode())]).astype("i8")
+        np.add.at(raw, codes, 1)
+        if doc_id is not None and doc_id != n:
+            np.add.at(target, codes, 1)
+    want = np.log((target + 1) / (target.sum() + size)) - np.log((raw + 1) / (raw.sum() + size))
+    assert q.fit_ratios(docs, labels) == pytest.approx(want, abs=1e-12)
+    assert q.fit_ratios(docs, labels, 6_000) == pytest.approx(want, abs=1e-12)
+
+
 def test_windows_over_a_piece_edge(monkeypatch):
     data = np.random.default_rng(0).integers(0, 255, 1000).astype("u1").tobytes()
     whole = np.concatenate(list(q.gram_buckets(data)))

@@ -1,11 +1,11 @@
 """Operator 6: quality rules by a hashed n-gram likelihood ratio.
 
 Two multinomials over hashed byte n-grams are counted: one of a trusted target
-(documents that ``labels`` marks as good, at most ``MAX_TARGET`` of them, those
-with the smallest hashes of doc_id), one of the whole raw corpus.  A document's
+(all documents that ``labels`` marks as good), one of the whole raw corpus.  A document's
 score is its mean log-likelihood ratio per n-gram; it is kept if the score
-reaches a fixed threshold and the base rules hold.  The raw counts cover all
-documents; both are vectors of fixed length, and no text is shuffled.
+reaches a fixed threshold and the base rules hold.  Both counts are vectors of
+fixed length, and no text is shuffled: the labels' ids are broadcast, in blocks
+by their hashes if there are many, with a pass over the documents for each.
 
 Defined results: null and empty texts have no words, so they fail the base
 rule (score 0); repeated rows are scored each and count each; nulls in labels
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, summed, texts_of
+from .common import summed, texts_of
 
-#: Documents of the trusted target, at most.
-MAX_TARGET = 20_000
+#: Ids of the trusted target that are broadcast at once, about; beyond, they come in blocks.
+BROADCAST_IDS = 500_000
 BITS = 16
 GRAM = 4
 #: Mean natural-log ratio per n-gram below which a document is dropped.
@@ -71,24 +71,34 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def fit_ratios(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET) -> np.ndarray:
-    """Log ratio of every bucket: add-one smoothed target over raw, the raw counts from all documents."""
-    good = bounded_sample(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct(), "_good", max_target)
-    marked = docs.join(F.broadcast(good), F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("good"))  # at most max_target numbers
+def fit_ratios(docs: DataFrame, labels: DataFrame, at_once: int = BROADCAST_IDS) -> np.ndarray:
+    """Log ratio of every bucket: add-one smoothed target over raw, both counted from all documents."""
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct()
+    blocks = max(1, -(-good.count() // at_once))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = 1 << BITS
 
+    def in_block(column: str, k: int):
+        return F.pmod(F.xxhash64(column), F.lit(blocks)) == k
+
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(2 * size)
         for batch in batches:
-            for text, good in zip(texts_of(batch), batch.column("good").to_pylist()):
+            for text, good, fresh in zip(texts_of(batch), batch.column("good").to_pylist(), batch.column("fresh").to_pylist()):
                 for codes in gram_buckets(text.encode("utf-8", "surrogatepass")):
                     found = np.bincount(codes, minlength=size)
-                    total[size:] += found
+                    if fresh:
+                        total[size:] += found
                     if good:
                         total[:size] += found
         return total
 
-    counts = summed(marked, count, 2 * size)
+    counts = np.zeros(2 * size)
+    for k in range(blocks):
+        ids = F.broadcast(good.filter(in_block("_good", k)))  # about at_once numbers at most
+        # The first pass sees every document, the others those of their block's ids only.
+        marked = rows.join(ids, F.col("doc_id") == F.col("_good"), "inner" if k else "left")
+        counts += summed(marked.select("text", F.col("_good").isNotNull().alias("good"), F.lit(k == 0).alias("fresh")), count, 2 * size)
     target, raw = counts[:size], counts[size:]
     if not target.any():
         return np.zeros(size)
