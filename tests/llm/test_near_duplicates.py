@@ -86,6 +86,20 @@ def test_classes_equal_brute_force(spark):
     assert nd.classes(docs.limit(0)).count() == 0
 
 
+def test_classes_that_share_an_id_are_kept_apart(spark):
+    """Null and repeated ids name several classes; a row of each stays."""
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(30))
+    rows = [(None, text(k)) for k in range(4)] + [(None, text(0))] + [(7, text(k)) for k in range(10, 13)] + [(8, text(10)), (7, text(20)), (6, text(20) + "!"), (9, text(30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id is None, r.doc_id, r.text) for r in nd.deduplicated(docs).collect()), key=str)
+    want = [(None, text(k)) for k in range(4)] + [(7, text(k)) for k in range(10, 13)] + [(6, text(20) + "!"), (9, text(30))]
+    assert kept == sorted(((d is None, d, t) for d, t in want), key=str)
+    roots = defaultdict(set)
+    for r in nd.classes(docs).collect():
+        roots[r.root].add((r.class_id, r.class_size))
+    assert sorted((x for v in roots.values() for x in v), key=str) == sorted([(None, 2), *[(None, 1)] * 3, (7, 2), (7, 1), (7, 1), (6, 2), (9, 1)], key=str)
+
+
 def test_similarity_and_collisions():
     rng = np.random.default_rng(1)
     idf = np.ones(1 << nd.DF_BITS, "f4") * 3

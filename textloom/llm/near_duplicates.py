@@ -25,9 +25,11 @@ documents does not depend on the size of the corpus.
 
 Defined results: null and empty texts have no words and are one class, as are
 all texts with the same words; texts shorter than a shingle have the one of all
-their words; equal rows stay rows of one class; a class is named by its smallest
-doc_id that is not null (null only if it has no other); an empty table gives no
-rows; other columns pass unread.
+their words; equal rows stay rows of one class; a class is shown by its smallest
+doc_id that is not null (null only if it has no other), which several classes
+may share where ids repeat or are null, and told from all others by its root,
+the smallest digest of its texts' words; an empty table gives no rows; other
+columns pass unread.
 """
 
 from __future__ import annotations
@@ -347,7 +349,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, text_hash, class_id and class_size of every row."""
+    """doc_id, text_hash, class_id, class_size and root, the class's smallest node, of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     idf = document_weights(rows)
     members = staged(_members(rows, idf), "members")
@@ -356,8 +358,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = members.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     rooted = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
     named = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    by_node = rooted.select("node", "root").join(named, "root").select(F.col("node").alias("of"), "class_id", "class_size")
-    return members.join(by_node, F.col("node") == F.col("of")).select("doc_id", "text_hash", "class_id", "class_size")
+    by_node = rooted.select("node", "root").join(named, "root").select(F.col("node").alias("of"), "class_id", "class_size", "root")
+    return members.join(by_node, F.col("node") == F.col("of")).select("doc_id", "text_hash", "class_id", "class_size", "root")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -367,9 +369,11 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     the text, and of equal rows one.
     """
     found = classes(docs, similarity)
-    first = found.groupBy("class_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("text_hash"))).alias("hash"))
+    # Two classes never have a text in common, so a doc_id and a hash of the text name the row of one of them.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
+    first = found.groupBy("root").agg(least.alias("row"))
     key = lambda c: [F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")), F.col(c).isNull()]
     names = ["_textloom_id", "_textloom_null", "_textloom_hash"]
-    wanted = first.select(*(c.alias(n) for c, n in zip([*key("class_id"), F.col("hash")], names)))
+    wanted = first.select(*(c.alias(n) for c, n in zip([*key("row.id"), F.col("row.hash")], names)))
     keyed = docs.withColumns(dict(zip(names, [*key("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))])))
     return keyed.join(wanted, names).dropDuplicates(names).select(*docs.columns)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontamination, factorisation, html_text, lattice, near_duplicates, pseudonyms, quality_rules, token_binary, warc
 from .common import table
@@ -44,7 +45,7 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    return near_duplicates.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", F.hex("root").alias("class_root"))
 
 
 def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
