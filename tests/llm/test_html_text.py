@@ -66,3 +66,16 @@ def test_rows(spark, trees):
     assert [got[k].text for k in (0, 1, 2, 4, 5)] == [want, "", "", want, want]
     assert got[3].text == "\n".join([para.strip()] * 3000) and all(r.n_chars == len(r.text) for r in got)
     assert ht.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 63, 64, 200])
+def test_siblings_of_a_parent_with_many_children(n):
+    lengths = [1 + k * 37 % 90 for k in range(n)]
+    nodes, _ = ht.parse("<div>own text" + "".join(f"<p>{'x' * m}</p>" for m in lengths) + "</div>")
+    rows = ht.features(nodes)[2:]
+    logs = [np.log1p(m) for m in lengths]
+    assert rows[:, 8].tolist() == list(range(n))
+    assert rows[:, 9] == pytest.approx([k / n for k in range(n)])
+    assert rows[:, 11] == pytest.approx([m / sum(lengths) for m in lengths])
+    assert rows[:, 12] == pytest.approx([-1, *logs[:-1]])
+    assert rows[:, 13] == pytest.approx([*logs[1:], -1])

@@ -207,16 +207,20 @@ def features(nodes: list[Node]) -> np.ndarray:
         inline[p] += inline[k]
         count[p] += count[k] + 1
         within[p] |= within[k] | groups[k]
+    places, beside = [0] * n, text.copy()
+    for node in nodes:
+        siblings = sum(text[c] for c in node.children)
+        for place, c in enumerate(node.children):
+            places[c], beside[c] = place, siblings
     out = np.zeros((n, FEATURES), "f4")
     total = max(1.0, text[0])
     for k, node in enumerate(nodes):
         around = nodes[node.parent].children if k else [0]
-        place = around.index(k) if len(around) < 64 else 0
-        siblings = sum(text[c] for c in around) if len(around) < 64 else text[node.parent]
+        place = places[k]
         t = max(1.0, text[k])
         out[k, :20] = (
             node.depth, np.log1p(text[k]), np.log1p(own[k]), links[k] / t, count[k] / t * 100, inline[k] / t * 100, marks[k] / t * 100, text[k] / total, place, place / len(around), len(around),
-            text[k] / max(1.0, siblings), np.log1p(text[around[place - 1]]) if place else -1, np.log1p(text[around[place + 1]]) if place + 1 < len(around) else -1, node.start / total, (node.start + text[k]) / total,
+            text[k] / max(1.0, beside[k]), np.log1p(text[around[place - 1]]) if place else -1, np.log1p(text[around[place + 1]]) if place + 1 < len(around) else -1, node.start / total, (node.start + text[k]) / total,
             np.log1p(text[node.parent]) if k else -1, tags_above[k] & 1, tags_above[k] >> 1 & 1, tags_above[k] >> 2 & 1,
         )
         for i, tags in enumerate(_TAGS):
