@@ -27,6 +27,21 @@ def test_query_without_sql_has_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_components_of_all_rows_equal_union_find(spark):
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for row in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey").collect():
+        a, b = sorted((top(row.l_suppkey), top(row.l_suppkey + 1 + row.l_partkey % 3)))
+        root[b] = a
+    got = [tuple(r) for r in catalogue.QUERIES["connected_components_all"](spark, SF).select("node", "root").collect()]
+    assert sorted(got) == sorted((x, top(x)) for x in root)
+
+
 def test_entry(spark):
     import __spark_entry__
 

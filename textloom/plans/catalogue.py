@@ -414,7 +414,17 @@ def acronyms_first8(spark, sf_dir):
 @query("""WITH k AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 <> 0), i AS (SELECT o_custkey % 100 AS g, o_orderkey AS v FROM k), s AS (SELECT g, v, v - row_number() OVER (PARTITION BY g ORDER BY v) AS island FROM i)
 SELECT CAST(g AS BIGINT) AS g, min(v) AS first, max(v) AS last, count(*) AS n FROM s GROUP BY g, island""")
 def islands_chunks(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(F.pmod("o_custkey", F.lit(100)).cast("long").alias("g"), F.col("o_orderkey").alias("v"))
+    return order_islands(table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0"))
+
+
+@query("""WITH k AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders), i AS (SELECT o_custkey % 100 AS g, o_orderkey AS v FROM k), s AS (SELECT g, v, v - row_number() OVER (PARTITION BY g ORDER BY v) AS island FROM i)
+SELECT CAST(g AS BIGINT) AS g, min(v) AS first, max(v) AS last, count(*) AS n FROM s GROUP BY g, island""")
+def islands_chunks_all(spark, sf_dir):
+    return order_islands(table(spark, sf_dir, "orders"))
+
+
+def order_islands(orders: DataFrame) -> DataFrame:
+    rows = orders.select(F.pmod("o_custkey", F.lit(100)).cast("long").alias("g"), F.col("o_orderkey").alias("v"))
     marked = rows.withColumn("island", selection.islands(rows, ["g"], F.col("v")))
     return marked.groupBy("g", "island").agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count("*").alias("n")).drop("island")
 
@@ -470,11 +480,20 @@ def line_clusters(spark, sf_dir):
     return layout.cluster_lines(words)
 
 
+def part_edges(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 1 + F.col("l_partkey") % 3).alias("b")).distinct()
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey + 1 + l_partkey % 3 AS b FROM lineitem WHERE l_partkey % 40 = 0), n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT DISTINCT a AS node, a AS root FROM n UNION SELECT n.b, r.root FROM r JOIN n ON n.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
 def connected_components(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 1 + F.col("l_partkey") % 3).alias("b")).distinct()
-    return layout.connected(edges)
+    return layout.connected(part_edges(table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = 0")))
+
+
+@query()
+def connected_components_all(spark, sf_dir):
+    # All rows form large components, for which recursive SQL is too slow.
+    return layout.connected(part_edges(table(spark, sf_dir, "lineitem")))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (i % 7))), 3) AS score FROM embeddings")

@@ -83,7 +83,17 @@ def best_version_per_page(spark, sf_dir):
 @query("""WITH p AS (SELECT DISTINCT o_custkey % 50 AS book, o_orderkey // 4 AS page FROM orders WHERE o_orderkey % 7 < 5), i AS (SELECT book, page, page - row_number() OVER (PARTITION BY book ORDER BY page) AS island FROM p), c AS (SELECT *, (row_number() OVER (PARTITION BY book, island ORDER BY page) - 1) // 3 AS part FROM i)
 SELECT book, min(page) AS first, max(page) AS last FROM c GROUP BY book, island, part""")
 def page_ranges(spark, sf_dir):
-    pages = table(spark, sf_dir, "orders").filter("o_orderkey % 7 < 5").select(F.expr("o_custkey % 50").alias("book"), F.expr("o_orderkey div 4").alias("page"))
+    return order_pages(table(spark, sf_dir, "orders").filter("o_orderkey % 7 < 5"))
+
+
+@query("""WITH p AS (SELECT DISTINCT o_custkey % 50 AS book, o_orderkey // 4 AS page FROM orders), i AS (SELECT book, page, page - row_number() OVER (PARTITION BY book ORDER BY page) AS island FROM p), c AS (SELECT *, (row_number() OVER (PARTITION BY book, island ORDER BY page) - 1) // 3 AS part FROM i)
+SELECT book, min(page) AS first, max(page) AS last FROM c GROUP BY book, island, part""")
+def page_ranges_all(spark, sf_dir):
+    return order_pages(table(spark, sf_dir, "orders"))
+
+
+def order_pages(orders: DataFrame) -> DataFrame:
+    pages = orders.select(F.expr("o_custkey % 50").alias("book"), F.expr("o_orderkey div 4").alias("page"))
     return runs.page_ranges(pages, "book", "page", 3)
 
 
