@@ -145,3 +145,32 @@ def test_streams(spark, tmp_path):
     assert [r.stage for r in spark.sql("select stage from stages").collect()] == ["strong"]
     lines = spark.createDataFrame([("r", 1, "[x] 1/10 ["), ("r", 2, "[x] 4/10 ["), ("r", 3, "none")], "run string, line_no long, line string")
     assert [(r.done, r.total) for r in progress.counters(lines).collect()] == [(4, 10)]
+
+
+def test_key_lookup_in_three_tiers(spark):
+    head = "abcdefghij" * 4
+    whole = head + "klm" * 300
+    right = [(whole + "x", 1, 1), (whole, 2, 2), (head + "pq", 3, 3), (head + "stuv", 4, 4), ("short", 5, 5), ("b" * 40 + "cxd" + "y" * 398, 6, 6), ("c" * 40 + "dxxe", 7, 7), ("c" * 40 + "dxxe", 8, 8), ("d" * 40 + "e" + "x" * 401, 9, 9), ("d" * 40 + "e" + "f" * 10, 10, 10), ("e" * 40 + "xf", 11, 11), ("e" * 40 + "yf", 12, 12)]
+    left = [(1, whole), (2, whole[:500]), (3, head + "su"), (4, "short"), (5, "shor"), (6, "b" * 40 + "cd"), (7, "c" * 40 + "de"), (8, "d" * 40 + "ez"), (9, "e" * 40 + "f"), (10, "none"), (11, "b" * 40 + "dc")]
+
+    def inside(a, b):
+        rest = iter(b)
+        return all(c in rest for c in a)
+
+    def brute(k):
+        for kk, value, _ in right:
+            if kk == k:
+                return value, 1
+        if len(k) >= 40:
+            near = [(kk, v) for kk, v, _ in right if kk[:40] == k[:40]]
+            for kk, value in near:
+                if kk.startswith(k) or k.startswith(kk):
+                    return value, 2
+            hits = dict(reversed([(kk, v) for kk, v in near if len(k) < len(kk) <= len(k) + 400 and inside(k, kk)]))
+            if len(hits) == 1:
+                return *hits.values(), 3
+
+    found = matching.key_lookup(spark.createDataFrame(left, "id long, key string"), spark.createDataFrame(right, "key string, value long, ord long"), within=400)
+    want = {i: brute(k) for i, k in left if brute(k)}
+    assert {r.id: (r.value, r.tier) for r in found.collect()} == want
+    assert want[1] == (2, 1) and want[3] == (4, 3) and want[7] == (7, 3) and 9 not in want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import ngrams, whole_word
+from textloom.functions.text import is_subsequence, ngrams, whole_word
 
 #: Rows up to which a table of terms is broadcast; beyond, Spark chooses a shuffled join.
 BROADCAST_TERMS = 100_000
@@ -69,11 +69,14 @@ def alternation_counts(docs: DataFrame, groups: dict[str, list[str]]) -> DataFra
     return docs.select("doc_id", *[F.regexp_count("text", F.lit(pattern(terms))).cast("long").alias(name) for name, terms in groups.items()])
 
 
-def key_lookup(left: DataFrame, right: DataFrame, prefix: int = 40) -> DataFrame:
+def key_lookup(left: DataFrame, right: DataFrame, prefix: int = 40, within: int = 0) -> DataFrame:
     """Matches of keys in tiers: equal, else (for keys of ``prefix`` letters or more) one a prefix of the other.
 
     left: id, key; right: key, value and ord, the order in which equal
     candidates are tried.  A bucket of the first letters keeps the second tier an equi-join.
+    With ``within``, what has no such match takes the one key of its bucket, if
+    there is one only, that is longer by at most so many letters and holds its
+    own letters in order.
     """
     best = Window.partitionBy("id").orderBy("tier", "ord")
     exact = left.join(right, "key").select("id", "value", "ord", F.lit(1).alias("tier"))
@@ -81,4 +84,11 @@ def key_lookup(left: DataFrame, right: DataFrame, prefix: int = 40) -> DataFrame
     a = left.filter(F.length("key") >= prefix).select("id", F.col("key").alias("a"), cut("key").alias("bucket"))
     b = right.filter(F.length("key") >= prefix).select(F.col("key").alias("b"), "value", "ord", cut("key").alias("bucket"))
     near = a.join(b, "bucket").filter(F.col("a").startswith(F.col("b")) | F.col("b").startswith(F.col("a"))).select("id", "value", "ord", F.lit(2).alias("tier"))
-    return exact.union(near).withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("id", "value", F.col("tier").cast("long").alias("tier"))
+    found = exact.union(near)
+    if within:
+        longer = F.length("b").between(F.length("a") + 1, F.length("a") + within)
+        held = a.join(b, "bucket").filter(longer).filter(is_subsequence(F.col("a"), F.col("b")))
+        by_key = held.groupBy("id", "b").agg(F.min_by(F.struct("value", "ord"), "ord").alias("first"))
+        lone = by_key.groupBy("id").agg(F.count("*").alias("n"), F.first("first").alias("first")).filter("n = 1")
+        found = found.union(lone.select("id", "first.value", "first.ord", F.lit(3).alias("tier")))
+    return found.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("id", "value", F.col("tier").cast("long").alias("tier"))

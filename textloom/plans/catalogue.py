@@ -167,6 +167,14 @@ def key_lookup_tiers(spark, sf_dir):
     return matching.key_lookup(left, right)
 
 
+@query()
+def key_lookup_benchmark(spark, sf_dir):
+    # All documents, with nulls where nothing matches.
+    left = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.paragraph_key(F.col("text")).alias("key"))
+    right = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("value"), F.col("item_id").alias("ord"), tx.paragraph_key(F.col("text")).alias("key"))
+    return left.select("id").join(matching.key_lookup(left, right, within=400), "id", "left")
+
+
 @query("""WITH s AS (SELECT d.doc_id, d.source, d.n_chars, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 w AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY quality NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n_chars) OVER (PARTITION BY source) AS t FROM s)
 SELECT doc_id, source, n_chars, CAST(quality AS INTEGER) AS quality FROM w WHERE b * 100 < greatest(t, 1) * 20""")
