@@ -73,6 +73,14 @@ def test_search_against_brute_force():
     assert total > 80 and wanted >= 0.97 * total
 
 
+def test_an_item_at_the_end_of_a_chunk_that_lacks_its_last_words():
+    words = [f"word{k}" for k in range(40)]
+    block = dc.Benchmark([(1, " ".join(words))])
+    for text, missing in ((" ".join(words[:37]), 3), ("other matter before " + " ".join(words[:36]), 4)):
+        alone, within = dc.search([text], block)[0], dc.search([text, "filler " * 100], block)[0]
+        assert alone == within and len(alone) == 1 and alone[0][1] == missing
+
+
 def test_recall_at_each_number_of_edits():
     rng, words, benchmark = material(5, 60)
     block = dc.Benchmark(benchmark)

@@ -127,6 +127,9 @@ class Benchmark:
         found: dict[int, set[int]] = defaultdict(set)
         if not len(self.items) or len(flat) < 2:
             return {}
+        # Windows may begin at any word; what they lack beyond the last is padded.
+        last = len(flat) - 1
+        flat = np.concatenate([flat, np.zeros(max(self.by_length), "i8")])
         # Where pairs and triples of the items begin, by the lengths of those items.
         likely = np.flatnonzero((flat[:-1] > 0) & (flat[1:] > 0))
         paired, pairs = _places(self.pairs, likely, flat[likely] * self.size + flat[likely + 1])
@@ -138,7 +141,7 @@ class Benchmark:
             if at is None or len(at) < need:
                 continue
             # Windows of n + k words from low to high hold the places i to i + need - 1.
-            low, high = np.maximum(at[need - 1 :] - n - k + 1, 0), np.minimum(at[: len(at) - need + 1], len(flat) - n)
+            low, high = np.maximum(at[need - 1 :] - n - k + 1, 0), np.minimum(at[: len(at) - need + 1], last)
             fits = low <= high
             first = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low[fits].tolist(), high[fits].tolist())] or [low[:0]]))
             if not len(first):
