@@ -135,3 +135,59 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(bytes([k]), bytes([k + 1])) for k in range(40)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
     got = {bytes(r.a): bytes(r.b) for r in nd.components(edges).collect()}
     assert got == {bytes([k]): b"\x00" for k in range(1, 41)} | {b"\xf1": b"\xf0"}
+
+
+def test_blocks_equal_pairs():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 60).astype("u8")
+    for _ in range(20):
+        codes = [np.unique(rng.choice(pool, rng.integers(1, 50))) for _ in range(12)]
+        weights = [rng.choice([1.0, 1.5, 3.0], len(c)).astype("f4") for c in codes]
+        rows = np.sort(rng.choice(12, 5, replace=False))
+        both = nd.overlaps(codes, weights, rows)
+        for r, row in enumerate(rows):
+            for k in set(range(12)) - {row}:
+                total = weights[row].sum(dtype="f8") + weights[k].sum(dtype="f8") - both[r, k]
+                assert both[r, k] / total == pytest.approx(nd.weighted_jaccard(codes[row], weights[row], codes[k], weights[k]), abs=1e-12)
+
+
+@pytest.mark.parametrize("peeled", [1, 100])
+def test_slices_lose_no_link(spark, monkeypatch, peeled):
+    """All nodes in one bucket of many slices: the components are those of all pairs."""
+    monkeypatch.setattr(nd, "SLICE", 6)
+    monkeypatch.setattr(nd, "PIVOTS", 2)
+    monkeypatch.setattr(nd, "PEELED", peeled)
+    rows = [(k, t) for k, t in enumerate(corpus()) if nd.normal_words(t or "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "xxhash64(text) as text_hash").repartition(3)
+    idf = nd.document_weights(docs)
+    members = nd._members(docs, idf).selectExpr("doc_id", "text_hash", "node", "array(7L) as bands", "size").cache()
+    node = {r.doc_id: bytes(r.node) for r in members.collect()}
+    want = {frozenset(node[rows[i][0]] for i in group) for group in brute_classes(rows, idf).values()}
+    found = {bytes(r.a): bytes(r.b) for r in nd.links(members, docs, idf).collect()}
+    got = defaultdict(set)
+    for n in node.values():
+        got[found.get(n, n)].add(n)
+    assert set(map(frozenset, got.values())) == want
+
+
+def test_of_rows_that_differ_elsewhere_one_stays_whatever_their_order(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, source) for source in "abcdef"] + [(2, text, "z")]
+    kept = {tuple(nd.deduplicated(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, source string").repartition(1 + k % 3)).collect()[0]) for k in (0, 2, 4)}
+    assert len(kept) == 1
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs just above the threshold nearly all share a band: 1 - (1 - 0.8 ** 4) ** 10 is 0.995."""
+    rng = np.random.default_rng(9)
+    sampler = nd.Sampler(np.ones(1 << nd.DF_BITS, "f4"))
+    met = 0
+    for _ in range(2000):
+        base = np.unique(rng.integers(0, 2**63, 160).astype("u8"))
+        n = len(base)
+        own = round(n * (1 - 0.805) / (1 + 0.805))
+        a, b = base, np.unique(np.concatenate([base[own:], rng.integers(0, 2**63, own).astype("u8")]))
+        s = sampler.signatures(np.concatenate([a, b]), np.ones(len(a) + len(b), "f4"), np.array([len(a), len(b)]))
+        bands = nd._bands(s)
+        met += (bands[0] == bands[1]).any()
+    assert met / 2000 >= 0.985

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
@@ -46,16 +47,66 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Of each open ``temporaries`` the paths that it deletes, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def staged(df: DataFrame, kind: str) -> DataFrame:
     """The rows of ``df`` written to the shared folder and read again.
 
     Lineage ends there, so that a lost executor costs no more than the tasks
-    that were running on it.
+    that were running on it.  Inside ``temporaries`` the table lives as long as
+    that does.
     """
-    spark = df.sparkSession
-    path = fresh_dir(spark, kind)
+    return _written(df, kind, _SCOPES[-1] if _SCOPES else None)
+
+
+def _written(df: DataFrame, kind: str, scope: list[str] | None) -> DataFrame:
+    path = fresh_dir(df.sparkSession, kind)
+    if scope is not None:
+        scope.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporaries(spark: SparkSession):
+    """Deletes at its end the tables that were staged within.
+
+    Gives a function that stages a table which outlives it.
+    """
+    scope: list[str] = []
+    outer = _SCOPES[-1] if _SCOPES else None
+    _SCOPES.append(scope)
+    try:
+        yield lambda df, kind="kept": _written(df, kind, outer)
+    finally:
+        _SCOPES.pop()
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in scope:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+#: Keys of at least one of so many rows are joined by broadcast; there are no more of them than that.
+HOT_KEYS = 10_000
+
+
+def dealt(rows: DataFrame, by_key: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with ``by_key``, which has one row a key and in ``n`` the number of the key's rows.
+
+    Keys with more than a ``HOT_KEYS``-th of all rows are at most that many: they
+    are broadcast, so that no task gets all rows of one.  The others are
+    shuffled.  ``n`` is left out.
+    """
+    total = by_key.agg(F.sum(n)).first()[0] or 0
+    least = total // HOT_KEYS + 1
+    hot = by_key.filter(F.col(n) >= least)
+    cold = by_key.filter(F.col(n) < least)
+    joined = rows.join(F.broadcast(hot), key)
+    if not cold.isEmpty():
+        joined = joined.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+    return joined.drop(n)
 
 
 class SharedFiles:

@@ -7,17 +7,16 @@ two documents draw the same one with a probability of their weighted Jaccard
 similarity.  Documents that agree in all rows of a band meet in a bucket, and
 the exact weighted Jaccard similarity of those brought together decides.
 
-Texts with equal words are one node.  A large bucket is never expanded into
-pairs: its members are measured against pivots, and the links found are joined
-to components by alternating large and small stars.  First a few pivots of the
-largest component gather most of the others, of the first band alone before all
-bands come in; then each member that still is of another component is measured
-against those that are not of its own, and leaves the bucket, until all that
-are left are of one component.  Weighted Jaccard distance is a metric: pairs
-whose distances to the bucket's first pivot differ by more than the threshold
-are passed over, as are those that cannot overlap enough, because shingles that
-no other member has make up too much of one.  So no link between members of a bucket is lost, and a group of
-near copies takes a few rounds whatever its size.
+Texts with equal words are one node.  A bucket is never expanded into pairs: it
+is cut into slices of bounded size, and within a slice, with a few pivots that
+all slices of the bucket share, all similarities are a product of matrices, of
+which only a tree of links leaves the task.  Alternating large and small stars
+join the links to components.  That settles buckets of one slice.  In larger
+ones, those members that are not of the bucket's largest component then meet
+all others, again slice by slice; before that, those of very large buckets are
+left out whose shingles that occur in other components too weigh too little
+for a link.  So no link between members of a bucket is lost, and what is moved
+and measured follows the members outside the largest component, not all pairs.
 
 Document frequencies are counted over all documents in a table of fixed size
 (2 ** ``DF_BITS`` buckets), which bounds what is broadcast; a bucket's share of
@@ -42,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import normal_words, staged, summed, texts_of
+from .common import dealt, normal_words, staged, summed, temporaries, texts_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -55,10 +54,15 @@ DAMPED = 0.25
 _NUMBERS = BANDS * ROWS
 #: Shingles that are drawn from at once.
 _AT_ONCE = 32_768
-#: Parts of the shingles by hash, in each of which an overlap is bounded by the lesser weight.
-PLACES = 64
-#: Members up to which all of a bucket are pivots at once.
-SMALL = 16
+#: Members and shingles of a bucket that one task holds at once: it is cut into slices of no more.
+SLICE = 256
+SLICE_CODES = 2_000_000
+#: Members of a bucket that meet all of its slices at once.
+PIVOTS = 8
+#: Slices beyond which those members are left out that can be linked with no other component.
+PEELED = 4
+#: Levels of weight that are columns of a matrix at once.
+_LEVELS = 4096
 #: Nodes up to which a list of them is broadcast; beyond, it is joined.
 BROADCAST_NODES = 200_000
 
@@ -143,9 +147,9 @@ def document_weights(docs: DataFrame) -> np.ndarray:
 
 
 def _members(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, node (a digest of its words) and the bands of every row."""
+    """doc_id, text_hash, node (a digest of its words), the bands and the number of shingles of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # of fixed size
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("size", pa.int64())])
 
     def draw(batches: Iterator[pa.RecordBatch]):
         sampler = Sampler(shared.value)
@@ -161,7 +165,7 @@ def _members(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 for k, b in zip(full.tolist(), found):
                     bands[k] = b
             ids, hashes, nodes = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, hashes, nodes, bands), schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, hashes, nodes, bands, lengths), schema)], schema=schema)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")]
@@ -177,7 +181,7 @@ def _members(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         if rows:
             yield made()
 
-    return docs.mapInArrow(draw, "doc_id long, text_hash long, node binary, bands array<long>")
+    return docs.mapInArrow(draw, "doc_id long, text_hash long, node binary, bands array<long>, size long")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -211,41 +215,183 @@ def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarra
     return both / total if total > 0 else 1.0
 
 
-def _measured(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """a, b and their distance, for distinct pairs of nodes."""
+def overlaps(codes: list[np.ndarray], weights: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Sums of the lesser weights of common shingles, of each of ``rows`` with all others.
+
+    The distinct weights of a shingle are its levels; who has a weight has all
+    levels up to it, and the sum of what two have in common, each level counting
+    for what it adds, is the lesser weight.  So a product of matrices gives it.
+    """
+    out = np.zeros((len(rows), len(codes)))
+    who = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    code, weight = np.concatenate(codes), np.concatenate(weights).astype("f8")
+    order = np.lexsort((weight, code))
+    who, code, weight = who[order], code[order], weight[order]
+    new_code = np.diff(code, prepend=~code[:1]) != 0
+    number = np.cumsum(new_code) - 1
+    several = np.bincount(number)[number] > 1
+    who, code, weight = who[several], code[several], weight[several]
+    if not len(who):
+        return out
+    new_code = np.diff(code, prepend=~code[:1]) != 0
+    new_level = new_code | (np.diff(weight, prepend=-1) != 0)
+    level = np.cumsum(new_level) - 1
+    begins = level[new_code][np.cumsum(new_code) - 1]  # of each entry's shingle, the first level
+    adds = (weight - np.where(new_code, 0, np.concatenate([[0], weight[:-1]])))[new_level]
+    times = level - begins + 1
+    if times.max() > 1:
+        each = np.repeat(np.arange(len(who)), times)
+        level = begins[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+        who = who[each]
+        order = np.argsort(level, kind="stable")
+        who, level = who[order], level[order]
+    for low in range(0, len(adds), _LEVELS):
+        first, last = np.searchsorted(level, [low, low + _LEVELS])
+        part = adds[low : low + _LEVELS]
+        has = np.zeros((len(codes), len(part)))
+        has[who[first:last], level[first:last] - low] = 1
+        out += (has[rows] * part) @ has.T
+    return out
+
+
+def _joined(near: np.ndarray, rows: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For each part the least that it is joined with, where ``near[r, k]`` links node rows[r] with node k."""
+    root = np.arange(part.max() + 1)
+    while True:
+        at = root[part]
+        least = np.minimum(np.where(near, at, len(root)).min(axis=1), at[rows])
+        new = root.copy()
+        np.minimum.at(new, part[rows], least)
+        np.minimum.at(new, part, np.where(near, least[:, None], len(root)).min(axis=0))
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def block_links(nodes: list[bytes], parts: list[bytes], rows: np.ndarray, codes: list[np.ndarray], weights: list[np.ndarray], reach: float) -> list[tuple[bytes, bytes]]:
+    """Pairs that join all parts of a block which links between ``rows`` and its nodes join: a tree, not all pairs."""
+    number: dict[bytes, int] = {}
+    part = np.array([number.setdefault(p, len(number)) for p in parts])
+    if len(number) < 2 or not len(rows):
+        return []
+    both = overlaps(codes, weights, rows)
+    total = np.array([w.sum(dtype="f8") for w in weights])
+    root = _joined(both >= (1 - reach) * (total[rows, None] + total - both), rows, part)
+    one = {p: node for p, node in zip(part.tolist()[::-1], nodes[::-1])}
+    return [(one[k], one[r]) for k, r in enumerate(root.tolist()) if k != r]
+
+
+def _linked(cells: DataFrame, contents: DataFrame, reach: float) -> DataFrame:
+    """a and b of what is joined in cells (bucket, i, j, node, part, row), each of bounded size.
+
+    A cell's rows, which ``row`` marks, are measured against all nodes of it.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]):
+        key, held = None, []
+
+        def made():
+            nodes, parts, marks, codes, weights = zip(*held)
+            found = block_links(list(nodes), list(parts), np.flatnonzero(marks), [np.frombuffer(c, "u8") for c in codes], [np.frombuffer(w, "f4") for w in weights], reach)
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("a_codes", "a_weights", "b_codes", "b_weights")]
-            found = [1 - weighted_jaccard(np.frombuffer(a, "u8"), np.frombuffer(wa, "f4"), np.frombuffer(b, "u8"), np.frombuffer(wb, "f4")) for a, wa, b, wb in zip(*columns)]
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "distance": pa.array(found, pa.float64())})
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "part", "row", "codes", "weights")]
+            for bucket, i, j, *rest in zip(*columns):
+                if (bucket, i, j) != key:
+                    if held:
+                        yield made()
+                    key, held = (bucket, i, j), []
+                held.append(rest)
+        if held:
+            yield made()
+
+    keys = ["bucket", "i", "j"]
+    full = cells.join(contents, "node").select(*keys, "node", "part", "row", "codes", "weights")
+    return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(measure, "a binary, b binary")
 
-    left = contents.select(F.col("node").alias("a"), F.col("codes").alias("a_codes"), F.col("weights").alias("a_weights"))
-    right = contents.select(F.col("node").alias("b"), F.col("codes").alias("b_codes"), F.col("weights").alias("b_weights"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_codes", "a_weights", "b_codes", "b_weights").mapInArrow(measure, "a binary, b binary, distance double")
+
+def _meeting(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, doc_id, text_hash) that share a bucket, and bucket, node and slices of each.
+
+    Of buckets with the same members one stays.  A bucket has as many slices as
+    keep each within ``SLICE`` members and ``SLICE_CODES`` shingles.
+    """
+    size = F.col("size") if "size" in members.columns else F.lit(0)
+    least = F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    nodes = members.filter(F.size("bands") > 0).groupBy("node").agg(least.alias("row"), F.first("bands").alias("bands"), F.first(size).alias("size"))
+    placed = staged(nodes.select("node", "row", "size", F.explode("bands").alias("bucket")), "placed")
+    sets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("codes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    kept = sets.filter("n > 1").groupBy("n", "codes", "x", "y").agg(F.min("bucket").alias("bucket"))
+    slices = F.ceil(F.greatest(F.col("n") / SLICE, F.col("codes") / SLICE_CODES, F.lit(1.0))).cast("int")
+    kept = staged(kept.select("bucket", "n", slices.alias("slices")), "buckets")
+    meeting = staged(dealt(placed, kept, "bucket", "n").select("bucket", "slices", "node", "row"), "meeting")
+    return meeting.select("node", "row.doc_id", "row.text_hash").distinct(), meeting.select("bucket", "slices", "node")
 
 
 def links(members: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """a and b, its component's smallest node, for all that meet in buckets and are joined by the similarity."""
+    """a and b, its component's smallest node, for all that meet in buckets and are joined by the similarity.
+
+    members: doc_id, text_hash, node, bands and, if known, size, the number of
+    the node's shingles.
+    """
     reach = 1 - similarity + 1e-9
-    nodes = members.filter(F.size("bands") > 0).groupBy("node").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"), F.first("bands").alias("bands"))
-    placed = staged(nodes.select("node", "row.doc_id", "row.text_hash", F.posexplode("bands").alias("band", "bucket")), "placed")
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    meeting = staged(placed.join(shared, "bucket"), "meeting")
-    contents = staged(_contents(docs, meeting.select("node", "doc_id", "text_hash").distinct(), idf), "contents")
-    found = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    meeting = staged(_bounded(meeting.select("band", "bucket", "node", F.col("node").alias("part")), contents, reach).drop("part"), "bounded")
-    for bands, most_turns in ((meeting.filter("band = 0"), 1), (meeting, None)):
-        named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
-        rows = bands.join(named, F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("root", "node").alias("part"), F.lit(None).cast("double").alias("first"), "total", "common")
-        found = _settled(_open(rows), contents, found, reach, most_turns)
-    return found
-
-
-def _sums(contents: DataFrame, parts: DataFrame) -> DataFrame:
-    """node, total weight, and by place the weight of what occurs in another part too: a bound on overlaps with other parts.
-
-    parts: node and part, the component that it is of.
+    with temporaries(docs.sparkSession) as kept:
+        wanted, meeting = _meeting(members)
+        contents = staged(_contents(docs, wanted, idf), "contents")
+        found = components(_linked(_sliced(meeting), contents, reach))
+        cells = _crossed(meeting.filter("slices > 1"), found, contents, reach)
+        if cells is not None:
+            found = components(found.unionByName(_linked(cells, contents, reach)))
+        return kept(found)
+
+
+def _sliced(meeting: DataFrame) -> DataFrame:
+    """Cells of the slices of all buckets; a bucket's pivots are in each of its slices."""
+    of = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    several = meeting.filter("slices > 1")
+    pivots = several.groupBy("bucket", "slices", F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(PIVOTS)).alias("slot")).agg(F.min("node").alias("node"))
+    everywhere = pivots.select("bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("i"), "node")
+    rows = meeting.select("bucket", of.alias("i"), "node").unionByName(everywhere)
+    return rows.select("bucket", "i", F.lit(0).alias("j"), "node", F.col("node").alias("part"), F.lit(True).alias("row"))
+
+
+def _crossed(rows: DataFrame, found: DataFrame, contents: DataFrame, reach: float) -> DataFrame | None:
+    """Cells in which those that are not of their bucket's largest component meet all others; None if there are none."""
+    if rows.isEmpty():
+        return None
+    named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
+    rows = rows.join(named, F.col("node") == F.col("of"), "left").select("bucket", "slices", "node", F.coalesce("root", "node").alias("part"))
+    rows = _apart(staged(rows, "parts"))
+    many = rows.filter(F.col("slices") > PEELED)
+    if not many.isEmpty():
+        rows = _apart(staged(rows.filter(F.col("slices") <= PEELED).unionByName(_able(many, contents, reach)), "able"))
+    if rows.isEmpty():
+        return None
+    apart = rows.filter("apart")
+    counts = staged(apart.groupBy("bucket").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("across"), F.count("*").alias("n")), "counts")
+    placed = dealt(rows, counts, "bucket", "n")
+    i, j = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("across")).cast("int"), F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    as_rows = placed.filter("apart").select("bucket", i.alias("i"), every("slices").alias("j"), "node", "part", F.lit(True).alias("row"))
+    as_columns = placed.select("bucket", every("across").alias("i"), j.alias("j"), "node", "part", F.lit(False).alias("row"))
+    return as_rows.unionByName(as_columns)
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Of buckets with several components the rows, and whether each is apart from the bucket's largest."""
+    sizes = rows.groupBy("bucket", "part").agg(F.count("*").alias("m"))
+    each = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("m", "part")).alias("largest"), F.count("*").alias("parts"), F.sum("m").alias("n")).filter("parts > 1")
+    placed = dealt(rows.select("bucket", "slices", "node", "part"), staged(each.select("bucket", "largest", "n"), "largest"), "bucket", "n")
+    return staged(placed.select("bucket", "slices", "node", "part", (F.col("part") != F.col("largest")).alias("apart")), "apart")
+
+
+def _able(rows: DataFrame, contents: DataFrame, reach: float) -> DataFrame:
+    """Rows without those that can be linked with no other component.
+
+    A node has at most the weight of those shingles in common with others that
+    occur in another component too.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]):
@@ -254,79 +400,12 @@ def _sums(contents: DataFrame, parts: DataFrame) -> DataFrame:
                 own = np.frombuffer(codes, "i8")
                 yield pa.RecordBatch.from_pydict({"node": pa.array([node] * len(own), pa.binary()), "part": pa.array([part] * len(own), pa.binary()), "code": pa.array(own), "weight": pa.array(np.frombuffer(weights, "f4").astype("f8"))})
 
-    each = contents.join(parts, "node").select("node", "part", "codes", "weights").mapInArrow(spread, "node binary, part binary, code long, weight double")
-    by_code = each.groupBy("code").agg(F.min("part").alias("x"), F.max("part").alias("y")).select(F.col("code").alias("of"), (F.col("x") != F.col("y")).alias("several"))
-    place = F.pmod(F.col("code"), F.lit(PLACES)).cast("int")
-    placed = each.join(by_code, F.col("code") == F.col("of")).groupBy("node", place.alias("h")).agg(F.sum("weight").alias("t"), F.sum(F.when(F.col("several"), F.col("weight")).otherwise(0.0)).alias("c"))
-    joined = placed.groupBy("node").agg(F.sum("t").alias("total"), F.map_from_entries(F.collect_list(F.struct("h", "c"))).alias("m"))
-    return joined.select("node", "total", F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0.0))).alias("common"))
-
-
-def _bounded(rows: DataFrame, contents: DataFrame, reach: float) -> DataFrame:
-    """Rows with total and common for the members of large buckets, null for the others.
-
-    A member of a large bucket that has too little in common with all the others
-    together can be linked with none and is left out.
-    """
-    large = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("bucket")
-    wide = rows.join(large, "bucket", "left_semi")
-    sums = staged(_sums(contents, wide.select("node", "part").distinct()), "sums")
-    most = F.aggregate("common", F.lit(0.0), lambda x, y: x + y)
-    kept = wide.join(sums, "node").filter(most >= (1 - reach) * F.col("total"))
-    rest = rows.join(large, "bucket", "left_anti").withColumns({"total": F.lit(None).cast("double"), "common": F.lit(None).cast("array<double>")})
-    return kept.unionByName(rest)
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows of those buckets that hold more than one component."""
-    several = rows.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x != y").select("bucket")
-    return staged(rows.join(several, "bucket"), "open")
-
-
-def _settled(rows: DataFrame, contents: DataFrame, found: DataFrame, reach: float, most_turns: int | None) -> DataFrame:
-    """``found`` with what the buckets of ``rows`` (bucket, node, part, first, total, common) add to it.
-
-    ``first`` is the distance to a bucket's first pivot, where it was measured:
-    two members whose distances to it differ by more than the threshold cannot
-    be linked.
-    """
-    turn = 0
-    while (most_turns is None or turn < most_turns) and not rows.isEmpty():
-        sizes = rows.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-        each = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("n"))
-        # Early turns let members of a large bucket's largest component find the others; then each of the others is measured against all, and leaves.
-        small = F.col("n") <= SMALL
-        final = small | F.lit(turn >= 2)
-        pivots_each = F.when(small, 4 * SMALL).otherwise(F.lit(4 ** min(turn, 10)))
-        chosen = rows.join(each, "bucket").withColumn("final", final).filter((F.col("part") != F.col("largest")) == F.col("final"))
-        slot = F.pmod(F.xxhash64(F.lit(-1 - turn), "node"), pivots_each)
-        pivots = chosen.groupBy("bucket", "final", slot.alias("slot")).agg(F.min_by(F.struct("node", "part", "first", "total", "common"), F.xxhash64(F.lit(turn), "bucket", "node")).alias("p"))
-        pivots = staged(pivots.select("bucket", "final", F.col("p.node").alias("pivot"), F.col("p.part").alias("pivot_part"), F.col("p.first").alias("pivot_first"), F.col("p.total").alias("pivot_total"), F.col("p.common").alias("pivot_common")), "pivots")
-        able = F.coalesce(F.abs(F.col("first") - F.col("pivot_first")) <= reach, F.lit(True))
-        both = F.aggregate(F.zip_with("common", "pivot_common", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y)
-        enough = F.coalesce(both >= (1 - reach) * (F.col("total") + F.col("pivot_total") - both), F.lit(True))
-        against = rows.join(pivots, "bucket").filter((F.col("part") != F.col("pivot_part")) & able & enough)
-        pairs = against.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        distances = staged(_measured(pairs, contents), "distances")
-        near = distances.filter(F.col("distance") <= reach).select("a", "b")
-        if not near.isEmpty():
-            found = components(found.union(near))
-        if most_turns is not None and turn + 1 >= most_turns:
-            break
-        if turn == 0:
-            lone = pivots.filter("not final").select("bucket", "pivot")
-            to_pivot = rows.join(lone, "bucket").select("bucket", "node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).join(distances, ["a", "b"], "left")
-            first = to_pivot.select("bucket", "node", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance")).alias("first"))
-            rows = rows.drop("first").join(first, ["bucket", "node"], "left")
-        gone = pivots.filter("final").select("bucket", F.col("pivot").alias("node"))
-        named = found.select(F.col("a").alias("of"), F.col("b").alias("root"))
-        left = rows.join(gone, ["bucket", "node"], "left_anti").join(named, F.col("node") == F.col("of"), "left")
-        rows = _open(left.select("bucket", "node", F.coalesce("root", "node").alias("part"), "first", "total", "common"))
-        if turn in (1, 3):
-            # By now much is joined, and what occurs in one component only can't be in common with others.
-            rows = _open(_bounded(rows.drop("total", "common"), contents, reach))
-        turn += 1
-    return found
+    each = staged(contents.join(rows.select("node", "part").distinct(), "node").select("node", "part", "codes", "weights").mapInArrow(spread, "node binary, part binary, code long, weight double"), "codes")
+    common = each.groupBy("code").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).filter("x != y").select("code", "n")
+    total = each.groupBy("node").agg(F.sum("weight").alias("total"))
+    shared = dealt(each, staged(common, "common"), "code", "n").groupBy("node").agg(F.sum("weight").alias("common"))
+    able = total.join(shared, "node").filter(F.col("common") >= (1 - reach) * F.col("total")).select("node")
+    return rows.join(able, "node", "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -341,7 +420,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
         # Large star: of each node, the larger neighbours go to the least.
-        large = both.filter("v > u").join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = now.join(least, F.col("v") == F.col("of")).select("u", F.col("m").alias("v"))
         # Small star: of each node, itself and the smaller neighbours go to the least.
         lower = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m")
         small = large.join(lower, F.col("u") == F.col("of")).select("v", "m").filter("v != m").union(lower.select("of", "m")).toDF("u", "v").distinct()
@@ -366,7 +445,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, whole, of which one of each class stays.
 
     That with the smallest doc_id; of rows that share it the smallest hash of
-    the text, and of equal rows one.
+    the text, then that of all columns (but maps), and of equal rows one.
     """
     found = classes(docs, similarity)
     # Two classes never have a text in common, so a doc_id and a hash of the text name the row of one of them.
@@ -376,4 +455,6 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     names = ["_textloom_id", "_textloom_null", "_textloom_hash"]
     wanted = first.select(*(c.alias(n) for c, n in zip([*key("row.id"), F.col("row.hash")], names)))
     keyed = docs.withColumns(dict(zip(names, [*key("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))])))
-    return keyed.join(wanted, names).dropDuplicates(names).select(*docs.columns)
+    hashed = F.xxhash64(*(f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+    rows = keyed.join(wanted, names).groupBy(*names).agg(F.min_by(F.struct(*(f"`{c}`" for c in docs.columns)), hashed).alias("row"))
+    return rows.select("row.*")
