@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -79,3 +80,38 @@ def test_siblings_of_a_parent_with_many_children(n):
     assert rows[:, 11] == pytest.approx([m / sum(lengths) for m in lengths])
     assert rows[:, 12] == pytest.approx([-1, *logs[:-1]])
     assert rows[:, 13] == pytest.approx([*logs[1:], -1])
+
+
+P = "This is a paragraph of the article, with several words in it, and a comma. It has a second sentence as well, as paragraphs often do."
+SHAPED = {
+    "head left open": (f"<html><head><title>t</title><body><article><p>{P}</p><p>{P}</p></article>", [P, P]),
+    "no wrapper": (f"<body><h1>Title of it</h1><p>{P}</p><p>{P}</p><p>{P}</p></body>", ["Title of it", P, P, P]),
+    "text parted by br": (f"<html><body>{P}<br><br>{P}</body></html>", [f"{P} {P}"]),
+    "section": (f"<body><section><h2>Title of it</h2><p>{P}</p><p>{P}</p></section></body>", ["Title of it", P, P]),
+    "plain div": (f"<body><div><h1>Title of it</h1><p>{P}</p><p>{P}</p></div></body>", ["Title of it", P, P]),
+    "table layout": (f"<body><table><tr><td><a href=/>Home</a> <a href=/b>About</a></td><td><h1>Title of it</h1><p>{P}</p><p>{P}</p></td></tr></table></body>", ["Title of it", P, P]),
+    "sidebar in main": (f"<main><div class=sidebar><h3>More</h3><p>Some text here in the sidebar of the page.</p></div><div class=post><h1>Title of it</h1><p>{P}</p><p>{P}</p></div></main>", ["Title of it", P, P]),
+    "masthead in a wrapper": (f"<body><div class=wrapper><header id=masthead><h1>Site name</h1><p>A tagline of the site</p></header><div class=content><h1>Title of it</h1><p>{P}</p><p>{P}</p></div></div></body>", ["Title of it", P, P]),
+}
+
+
+@pytest.mark.parametrize("name", SHAPED)
+def test_pages_of_many_shapes(trees, name):
+    page, want = SHAPED[name]
+    assert ht.texts([page], trees)[0].split("\n") == want
+
+
+@pytest.mark.parametrize("shape", ["section", "table"])
+def test_a_shape_that_was_not_trained_on(shape):
+    trees = ht.Boosted(trees=40).fit(*ht.training_nodes(350, 5, tuple(s for s in ht.SHAPES if s != shape)))
+    x, y = ht.training_nodes(60, 6, (shape,))
+    kept, true = trees.scores(x) > 0, y > 0
+    assert 2 * (kept & true).sum() / (kept.sum() + true.sum()) > 0.9
+
+
+@pytest.mark.parametrize("soup", ['<a href="x', '<p "', "<div>", "<b>", "<ul><li>", "<!--", "</span>", "<a b='>\" "])
+def test_soup_is_parsed_in_linear_time(soup):
+    page = soup * (1_000_000 // len(soup) // 2) + ("</span>" if "<div" in soup else "<div></div>" if "<b" in soup else "x ") * 20_000
+    began = time.process_time()
+    ht.parse(page)
+    assert time.process_time() - began < 12

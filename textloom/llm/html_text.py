@@ -22,6 +22,8 @@ import functools
 import html as entities
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile("""[>"']""")
 #: Elements of HTML by how they are laid out.
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object select".split())
-_SILENT = frozenset("head button option datalist audio video canvas".split())
+_SILENT = frozenset("button option datalist audio video canvas".split())
 _CLOSES_P = _BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "figcaption", "legend", "summary"}
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}), "tbody": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"})}
-_TAGS = [{"article", "main"}, {"nav", "menu", "dir"}, {"aside"}, {"header"}, {"footer", "address"}, {"form", "fieldset", "legend", "dialog"}, {"p"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"}, {"div", "section", "center", "body", "html"}, {"table", "tbody", "thead", "tr", "td", "th"}, {"figure", "figcaption"}, {"blockquote", "pre"}]
+#: Elements whose end tags have no effect beyond the table cell that they stand in.
+_HELD_BY_CELLS = frozenset(("p", "li", "a", "b", "i", "span", "div"))
+_TAGS = [{"article", "main"}, {"nav", "menu", "dir"}, {"aside"}, {"header"}, {"footer", "address"}, {"form", "fieldset", "legend", "dialog"}, {"p"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"}, {"div", "section", "center", "body", "html"}, {"table", "tbody", "thead", "tr", "td", "th"}, {"figure", "figcaption"}, {"blockquote", "pre"}, {"#run"}]
 _GROUPS = [
     set("nav navigation menu navbar breadcrumb breadcrumbs topbar toolbar pagination pager tabs skip".split()),
     set("header masthead banner logo branding top".split()),
@@ -62,28 +67,84 @@ class Node:
         self.children: list[int] = []
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, name (with a slash before it if it ends an element) and attributes of every tag, in one pass.
+
+    Comments and declarations have an empty name.  A ``>`` in quotes ends no
+    tag; where quotes turn out to be left open up to the page's end, they are
+    ordinary characters from there on.  Who reads may send a place to go on at.
+    """
+    at, quoted = 0, True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", ""
+            continue
+        name = _NAME.match(page, start + 1)
+        if name is None and not page.startswith(("<!", "<?"), start):
+            at = start + 1
+            continue
+        inside = name.end() if name else start + 2
+        end = page.find(">", inside)
+        if end < 0:  # a tag that never ends takes the rest with it
+            yield start, len(page), "", ""
+            return
+        if quoted and name:
+            k = inside
+            while True:
+                mark = _QUOTE_OR_END.search(page, k)
+                if mark is None or mark[0] == ">":
+                    break
+                k = page.find(mark[0], mark.end()) + 1
+                if not k:
+                    mark = None
+                    break
+            if mark is None:
+                quoted = False
+            else:
+                end = mark.start()
+        at = end + 1
+        moved = yield start, at, name[0].lower() if name else "", page[inside:end] if name else ""
+        if moved is not None:
+            at = moved
+            yield at, at, "", ""
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block nodes in page order, parents first, and (node, text) of every block of text."""
+    """Block nodes in page order, parents first, and (node, text) of every block of text.
+
+    Text that stands directly in the page, or in a node behind blocks, is a node
+    of its own, named ``#run``, unless the page is nothing but text.  The work is linear in the page's length.
+    """
     nodes = [Node("html", -1, 0, "", 0)]
     blocks: list[tuple[int, str]] = []
-    # Open elements: name, its block node or -1 for inline ones.
+    # Open elements: name, its block node or -1 for inline ones; of each name the places in the stack.
     stack: list[tuple[str, int]] = [("html", 0)]
+    where: dict[str, list[int]] = defaultdict(list)
+    open_blocks = [0]
     held: list[str] = []
-    at, links, silent, written, link_chars = 0, 0, 0, 0, 0
+    links, silent, written, link_chars = 0, 0, 0, 0
     current = 0
 
+    def child(name: str, attrs: str) -> int:
+        nodes.append(Node(name, current, nodes[current].depth + 1, attrs, written))
+        nodes[current].children.append(len(nodes) - 1)
+        return len(nodes) - 1
+
     def flush():
         nonlocal written, link_chars
         if held:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                node = nodes[current]
+                at = child("#run", "") if not current or nodes[current].children else current
+                node = nodes[at]
                 node.own += len(text)
                 node.links += min(len(text), link_chars)
                 node.marks += sum(map(text.count, ".,;:!?"))
                 written += len(text)
-                blocks.append((current, text))
+                blocks.append((at, text))
         link_chars = 0
 
     def close(k: int):
@@ -92,8 +153,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         for name, node in reversed(stack[k:]):
             links -= name == "a"
             silent -= name in _SILENT
+            where[name].pop()
             if node >= 0:
                 flush()
+                open_blocks.pop()
                 current = nodes[node].parent
         del stack[k:]
 
@@ -106,52 +169,40 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if links:
                 link_chars += len(text)
 
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+    def last(names) -> int:
+        return max((where[name][-1] for name in names if where[name]), default=0)
+
+    found, said = tags(page), 0
+    for start, end, name, attrs in found:
+        say(page[said:start])
+        said = end
+        if not name or name in ("head", "/head"):
             continue
-        name, attrs = name.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if stack[k][0] in ("td", "th", "table") and name in ("p", "li", "a", "b", "i", "span", "div"):
-                    break
+        if name[0] == "/":
+            name = name[1:]
+            k = last([name])
+            if k and (name not in _HELD_BY_CELLS or k > last(("td", "th", "table"))):
+                close(k)
             continue
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
             if attrs.endswith("/") and name in ("svg", "math"):
                 continue
-            at = len(page) if end is None else (page.find(">", end.start()) + 1 or len(page))
+            closing = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, end)
+            said = len(page) if closing is None else (page.find(">", closing.start()) + 1 or len(page))
+            found.send(said)
             continue
         if name == "br":
             say(" ")
             continue
         block = name in _BLOCKS or "-" in name
         if block:
-            if name in _CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][1] >= 0 and stack[k][0] != "p":
-                        break
+            if name in _CLOSES_P and stack[open_blocks[-1]][0] == "p":
+                close(open_blocks[-1])
             if name in _IMPLIED:
                 ends, scope = _IMPLIED[name]
-                low = None
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        low = k
-                    elif stack[k][0] in scope:
-                        break
-                if low is not None:
+                within = last(scope)
+                low = min((where[e][at] for e in ends if (at := bisect_right(where[e], within)) < len(where[e])), default=0)
+                if low:
                     close(low)
             flush()
             if name in ("html", "body") and len(stack) <= 2:
@@ -159,10 +210,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 continue
         if name in _VOID or attrs.endswith("/") and not block:
             continue
+        where[name].append(len(stack))
         if block:
-            k = len(nodes)
-            nodes.append(Node(name, current, nodes[current].depth + 1, attrs, written))
-            nodes[current].children.append(k)
+            k = child(name, attrs)
+            open_blocks.append(len(stack))
             stack.append((name, k))
             current = k
         else:
@@ -170,8 +221,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes[current].nodes += 1
             links += name == "a"
             silent += name in _SILENT
+    say(page[said:])
     close(1)
     flush()
+    if len(nodes) == 2 and nodes[1].tag == "#run":  # the page is nothing but text
+        nodes[0].own, nodes[0].links, nodes[0].marks = nodes[1].own, nodes[1].links, nodes[1].marks
+        nodes[0].children, blocks = [], [(0, text) for _, text in blocks]
+        del nodes[1]
     return nodes, blocks
 
 
@@ -313,7 +369,12 @@ def decode(nodes: list[Node], scores: np.ndarray) -> np.ndarray:
     return kept
 
 
-def _written_page(rng: random.Random) -> str:
+#: How the generator places an article in its page.
+SHAPES = ("wrapped", "bare", "section", "plain", "nested", "table", "runs", "beside")
+_RUN = "\x01"
+
+
+def _written_page(rng: random.Random, shape: str = "wrapped") -> str:
     """A page of the generator; blocks of the article are marked."""
     syllables = "an er on re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
@@ -362,16 +423,48 @@ def _written_page(rng: random.Random) -> str:
             body.append(f"<pre{y}>{words(5, 30)}</pre>")
         if rng.random() < 0.08:
             body.append(rng.choice([f"<div{named('ad', 'advert', 'sponsored')}>{sentence()}</div>" if classes else "", f"<div{named('share', 'social-links')}><a href='#'>{word()}</a> <a href='#'>{word()}</a></div>", f"<aside{named('related', 'more-stories')}><h3>{words(1, 3)}</h3>{links(3)}</aside>"]))
-    article = rng.choice([lambda b: f"<article>{b}</article>", lambda b: f"<article{named('post', 'story')}>{b}</article>", lambda b: f"<main><article>{b}</article></main>", lambda b: f"<main>{b}</main>", lambda b: f"<div class='{rng.choice(['content', 'article-body', 'post-content', 'entry'])}'>{b}</div>", lambda b: f"<div id='main'><div class='story'>{b}</div></div>"])("".join(body))
+    if shape == "runs":
+        title = body[:1] if body and body[0].startswith("<h1") else []
+        body = [*title, _RUN, rng.choice(["<br><br>", "<br>\n"]).join(para() for _ in range(rng.randrange(1, 7)))]
+        if rng.random() < 0.4:
+            body += ["<hr>" if rng.random() < 0.5 else f"<h2{y}>{words(2, 6)}</h2>", _RUN, para()]
+    wrapped = rng.choice([lambda b: f"<article>{b}</article>", lambda b: f"<article{named('post', 'story')}>{b}</article>", lambda b: f"<main><article>{b}</article></main>", lambda b: f"<main>{b}</main>", lambda b: f"<div class='{rng.choice(['content', 'article-body', 'post-content', 'entry'])}'>{b}</div>", lambda b: f"<div id='main'><div class='story'>{b}</div></div>"])
     ad = lambda: f"<div class=\"{rng.choice(['ad', 'ads', 'advertisement', 'promo', 'sponsored'])}\">{para()}</div>"
     nav = lambda: rng.choice([f"<nav>{links(rng.randrange(2, 9))}</nav>", f"<div class='{rng.choice(['menu', 'navbar', 'breadcrumbs', 'topbar'])}'>{links(rng.randrange(2, 7))}</div>"])
     notice = lambda: f"<div class='{rng.choice(['cookie-notice', 'consent', 'newsletter', 'alert', 'popup'])}'><p>{sentence()}</p><button>{word()}</button></div>"
     aside = lambda: rng.choice([f"<aside>{links(4)}<p>{para()}</p></aside>", f"<div class='{rng.choice(['sidebar', 'widget', 'related'])}'><h3>{words(1, 3)}</h3><p>{sentence()}</p>{links(3)}</div>"])
     form = lambda: f"<form action='/s'><label>{words(1, 3)}</label><input name=q><p>{sentence()}</p><button>{word()}</button></form>"
     comments = lambda: f"<{(t := rng.choice(['section', 'div']))} {rng.choice(['class', 'id'])}='{rng.choice(['comments', 'comment-list', 'discussion', 'replies'])}'><h3>{words(1, 3)}</h3>" + "".join(f"<div{named('comment', 'reply')}><p>{para()}</p></div>" for _ in range(rng.randrange(1, 6))) + f"</{t}>"
-    header = lambda: f"<header{named('masthead', 'site-header')}><a href='/'>{words(1, 3)}</a><p>{sentence(2, 8)}</p></header>"
+    header = lambda: f"<{(t := rng.choice(['header', 'header', 'div']))} {rng.choice(['class', 'id'])}='{rng.choice(['masthead', 'site-header', 'banner'])}'>{rng.choice(['<h1>', '<p>', '<h1>' + words(1, 4) + '</h1>', ''])}{rng.choice(["<a href='/'>" + words(1, 3) + '</a>', words(1, 4)])}{rng.choice([f'<p>{sentence(2, 8)}</p>', words(2, 6), nav()])}</{t}>"
     footer = lambda: rng.choice([f"<footer>&copy; {word()}.example &middot; {para()}</footer>", f"<div class='{rng.choice(['footer', 'site-footer'])}'><p>{sentence()}</p>{links(3)}</div>"])
     some = lambda f, share: f() if rng.random() < share else ""
+    neutral = lambda: f" class='{rng.choice(['row', 'col', 'inner', 'wrap', 'container', 'box', 'l-grid', 'c1'])}'" if rng.random() < 0.5 else ""
+
+    def around(b):
+        if shape == "section":
+            return f"<section>{b}</section>"
+        if shape == "plain":
+            return f"<div{neutral()}>{b}</div>"
+        if shape == "nested":
+            for _ in range(rng.randrange(2, 5)):
+                b = f"<div{neutral()}>{b}</div>"
+            return b
+        if shape == "table":
+            beside = f"<td>{links(rng.randrange(2, 7))}</td>"
+            cells = [some(lambda: beside, 0.7), f"<td{neutral()}>{b}</td>", some(lambda: f"<td>{rng.choice([aside, ad])()}</td>", 0.4)]
+            top = f"<tr><td colspan=3><a href='/'>{words(1, 3)}</a></td></tr>" if rng.random() < 0.5 else ""
+            return f"<table{rng.choice([' width=100%', ' border=0', ''])}>{top}<tr>{''.join(cells)}</tr></table>"
+        if shape == "beside":
+            parts = [rng.choice([lambda: f"<article>{b}</article>", lambda: f"<div class='{rng.choice(['post', 'content', 'entry'])}'>{b}</div>", lambda: f"<div{neutral()}>{b}</div>"])()] + [f() for f in (aside, ad, comments, nav, form) if rng.random() < 0.35]
+            if rng.random() < 0.5:
+                parts.reverse()
+            t = rng.choice(["main", "main", "div"])
+            return f"<{t}{neutral()}>{''.join(parts)}</{t}>"
+        if shape == "bare":
+            return b
+        return rng.choice([lambda b: b, lambda b: f"<div{neutral()}>{b}</div>", wrapped])(b) if shape == "runs" else wrapped(b)
+
+    article = around("".join(body))
     before = some(header, 0.4) + some(nav, 0.8) + some(notice, 0.25) + some(ad, 0.5) + some(aside, 0.15) + some(form, 0.15)
     inner = article
     if rng.random() < 0.2 and "</article>" in inner:
@@ -381,27 +474,33 @@ def _written_page(rng: random.Random) -> str:
     if rng.random() < 0.4:
         inside = f"<div{named('wrapper', 'page', 'container')}>{inside}</div>"
     tail = rng.choice(["</body></html>", "</body></html>", ""])
-    return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{inside}{tail}"
+    head = f"<title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script>"
+    start = rng.choice([f"<html><head>{head}</head><body>"] * 3 + [f"<html><head>{head}<body>", f"{head}", f"<html><body{neutral()}>"])
+    return f"<!DOCTYPE html>{start}{inside}{tail}"
 
 
 #: Pages that the generator writes for fitting.
-TRAINING_PAGES = 700
+TRAINING_PAGES = 1200
 
 
-def training_nodes(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all nodes of written pages, and whether each holds marked text."""
+def training_nodes(pages: int, seed: int, shapes: tuple[str, ...] = SHAPES) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all nodes of written pages, and whether each holds marked text; many of the pages are wrapped."""
     rng = random.Random(seed)
     x, y = [], []
     for _ in range(pages):
-        nodes, _ = parse(_written_page(rng))
+        nodes, blocks = parse(_written_page(rng, "wrapped" if "wrapped" in shapes and rng.random() < 0.4 else rng.choice(shapes)))
         holds = [_MARK in node.attrs for node in nodes]
+        for k, text in blocks:
+            if text.startswith(_RUN):
+                holds[k] = True
+                nodes[k].own -= len(_RUN)
         for k in range(len(nodes) - 1, 0, -1):
             if holds[k]:
                 holds[nodes[k].parent] = True
         for node in nodes:
             node.attrs = node.attrs.replace(f" {_MARK}=1", "")
-        x.append(features(nodes))
-        y.append(holds)
+        x.append(features(nodes)[1:])  # the page itself is always kept
+        y.append(holds[1:])
     return np.concatenate(x), np.concatenate(y).astype("f8")
 
 
@@ -419,9 +518,6 @@ def texts(pages: list[str], trees: Boosted) -> list[str]:
     for (nodes, blocks), own in zip(parsed, rows):
         kept = decode(nodes, scores[at : at + len(own)])
         at += len(own)
-        # The page itself is a node too: text that stands in no block is kept by its own score.
-        if scores[at - len(own)] <= 0 or len(nodes) > 1:
-            kept[0] = False
         out.append("\n".join(text for k, text in blocks if kept[k]))
     return out
 
