@@ -118,3 +118,11 @@ def test_rows(spark, monkeypatch):
     assert len(blocks) > 3 and sum(len(b.items) for b in blocks) == 31
     assert dc.contaminations(docs.limit(0), items).count() == 0 and dc.contaminations(docs, items.limit(0)).count() == 0
     assert dc.decontaminated(docs, items.limit(0)).count() == len(rows)
+
+
+def test_short_items_are_found_as_they_are(spark):
+    items = spark.createDataFrame([(1, "Four words, exactly here"), (2, "One!"), (3, "two words"), (4, "..."), (5, "a longer item of seven words here")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "There are four words exactly here. And two"), (11, "words four words exactly"), (12, "One of two words: a longer item of seven words here"), (13, None), (14, "two"), (15, "words"), (16, "one")], "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.item_id): (r.distance, r.first_word, r.end_word) for r in dc.contaminations(docs, items, shortest=1).collect()}
+    assert got == {(10, 1): (0, 2, 6), (12, 2): (0, 0, 1), (12, 3): (0, 2, 4), (12, 5): (0, 4, 11), (16, 2): (0, 0, 1)}
+    assert {r.doc_id for r in dc.decontaminated(docs, items, shortest=1).collect()} == {11, 13, 14, 15}

@@ -11,12 +11,14 @@ one of ``REPEATS`` walks are candidates; the exact edit distance decides.
 Walks are only made where an item can be at all: at most k edits leave n - 1 -
 2k of an item's n - 1 word pairs and n - 2 - 3k of its triples, so a window with
 fewer of those that occur in any item is passed over.  That test loses nothing.
+Items of fewer than ``WALKED`` words allow no edit and are looked up as they are.
 
 The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text, which is
 what a task holds of it; documents are read once a block and never joined.
 
-Defined results: items of fewer than ``MIN_WORDS`` words match nothing; null
-and empty texts hold nothing; equal items give equal rows, repeated rows of
+Defined results: items of fewer than ``shortest`` words match nothing (the
+registered query and the pipeline take 1), nor do those without any; null and
+empty texts hold nothing; equal items give equal rows, repeated rows of
 documents are searched each; a null id is reported as null; an empty table on
 either side gives no rows; other columns pass unread.
 """
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import normal_words, texts_of
 
-MIN_WORDS = 5
+#: Words from which items are looked for by walks; shorter ones allow no edit.
+WALKED = 5
 #: Edits allowed: this share of an item's words, rounded down.
 EDITS = 0.2
 REPEATS = 32
@@ -78,26 +81,33 @@ def _places(index: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, gr
 class Benchmark:
     """The items of a block, ready to be searched for."""
 
-    def __init__(self, items: list[tuple[int | None, str]], seed: int = 4):
+    def __init__(self, items: list[tuple[int | None, str]], seed: int = 4, shortest: int = WALKED):
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int | None, np.ndarray]] = []
         for item_id, text in items:
             words = normal_words(text)
-            if len(words) >= MIN_WORDS:
+            if len(words) >= max(1, shortest):
                 self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], "i8")))
         size = len(self.vocabulary) + 1
         self.size = size
-        pairs = [words[:-1] * size + words[1:] for _, words in self.items]
-        triples = [p[:-1] * size + words[2:] for p, (_, words) in zip(pairs, self.items)]
-        lengths = [len(words) for _, words in self.items]
+        walked = [words for _, words in self.items if len(words) >= WALKED]
+        # Codes of grams may run over; grams that share one are passed on to the walks alike.
+        pairs = [words[:-1] * size + words[1:] for words in walked]
+        triples = [p[:-1] * size + words[2:] for p, words in zip(pairs, walked)]
+        lengths = [len(words) for words in walked]
         self.pairs, self.triples = _by_gram(pairs, lengths), _by_gram(triples, lengths)
         rng = np.random.default_rng(seed)
         self.word_hash = rng.integers(1, 2**63, size + 1, dtype="u8") * np.uint64(2) + np.uint64(1)  # the last stands for padding
         longest = max((len(w) for _, w in self.items), default=0)
         self.steps = rng.integers(1, 2**63, (REPEATS, 2 * longest + 1), dtype="u8") * np.uint64(2) + np.uint64(1)
         self.by_length: dict[int, list[int]] = defaultdict(list)
+        self.short: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
         for k, (_, words) in enumerate(self.items):
-            self.by_length[len(words)].append(k)
+            if len(words) < WALKED:
+                self.short[len(words)][words.tobytes()].append(k)
+            else:
+                self.by_length[len(words)].append(k)
+        self.short = {n: dict(of) for n, of in self.short.items()}
         self.places = {n: np.sort(np.stack([rng.choice(max(SAMPLED, int(1.5 * n)), SAMPLED, replace=False) for _ in range(REPEATS)]), 1) for n in self.by_length}
         self.keys = {}
         for n, members in self.by_length.items():
@@ -127,6 +137,13 @@ class Benchmark:
         found: dict[int, set[int]] = defaultdict(set)
         if not len(self.items) or len(flat) < 2:
             return {}
+        for n, members in self.short.items():
+            begins = np.unique(np.fromiter((np.frombuffer(w, "i8")[0] for w in members), "i8", len(members)))
+            for at in np.flatnonzero(np.isin(flat, begins)).tolist():
+                for item in members.get(flat[at : at + n].tobytes(), ()):
+                    found[item].add(at)
+        if not self.by_length:
+            return {item: sorted(starts) for item, starts in found.items()}
         # Windows may begin at any word; what they lack beyond the last is padded.
         last = len(flat) - 1
         flat = np.concatenate([flat, np.zeros(max(self.by_length), "i8")])
@@ -246,28 +263,28 @@ def search(texts: list[str], block: Benchmark) -> list[list[tuple[int, int, int,
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Benchmark]:
+def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, shortest: int = WALKED) -> Iterator[Benchmark]:
     """The benchmark's distinct items, by id, a bounded number of bytes at a time."""
     held, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct().orderBy("item_id", "text").toLocalIterator():
         held.append((row["item_id"], row["text"]))
         size += len(row["text"].encode("utf-8", "surrogatepass"))
         if size >= block_bytes:
-            yield Benchmark(held)
+            yield Benchmark(held, shortest=shortest)
             held, size = [], 0
     if held:
-        yield Benchmark(held)
+        yield Benchmark(held, shortest=shortest)
 
 
 _FOUND = "doc_id long, item_id long, distance int, n_words int, first_word int, end_word int"
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, shortest: int = WALKED) -> DataFrame:
     """A row for every document and item found in it, with the nearest stretch."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for block in blocks_of(benchmark):
+    for block in blocks_of(benchmark, shortest=shortest):
         shared = spark.sparkContext.broadcast(block)  # of bounded text
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared):
@@ -282,9 +299,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], _FOUND)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = WALKED) -> DataFrame:
     """The rows of ``docs``, whole, that hold no item."""
-    for block in blocks_of(benchmark):
+    for block in blocks_of(benchmark, shortest=shortest):
         shared = docs.sparkSession.sparkContext.broadcast(block)  # of bounded text
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared):

@@ -29,7 +29,7 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shortest=1)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
