@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, fresh_dir
+from .common import SharedFiles, dealt, fresh_dir, staged
 
 CHUNK_BYTES = 256 * 1024
 #: Bytes of payload after which an archive is closed.
@@ -44,21 +44,21 @@ def chunk_table(pages: DataFrame, min_revisit_bytes: int = 0, chunk_bytes: int =
     """Chunks of every page's payload with the decision for its record.
 
     Which record is the response is settled on narrow rows of (digest,
-    page_id); payloads are dealt out once, by page_id and digest, so equal
-    payloads don't meet in one task.
+    page_id), of which the digests of many pages are broadcast.  Payloads are
+    cut where they are read; only chunks are dealt out, by page_id and digest,
+    and sorted.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     narrow = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(_LEAST)).alias("page_id"), "url", payload.alias("payload"))
     keyed = narrow.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     ids = keyed.filter(F.col("size") >= min_revisit_bytes).select("page_id", "digest")
-    first = ids.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    decided = ids.join(first, "digest").distinct().select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), "first_id")
-    joined = keyed.join(decided, (keyed.page_id == decided.of_page) & (keyed.digest == decided.of_digest), "left").drop("of_page", "of_digest")
-    ordered = joined.sortWithinPartitions("page_id", "digest")
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0).cast("long")), F.lit(chunk_bytes).cast("long"))
-    return ordered.select("page_id", "url", "digest", "size", "first_id", "payload", F.posexplode(starts).alias("chunk_no", "at")).select(
-        "page_id", "url", "digest", "size", "first_id", "chunk_no", F.expr(f"substring(payload, cast(at + 1 as int), {chunk_bytes})").alias("chunk")
-    )
+    first = staged(ids.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1"), "digests")
+    decided = dealt(ids, first, "digest", "n").distinct().select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), "first_id")
+    # Rows with one page_id and one payload are told apart by their place, so that the chunks of each stay together.
+    cut = F.expr(f"transform(sequence(0L, greatest(size - 1L, 0L), {chunk_bytes}L), at -> substring(payload, cast(at + 1 as int), {chunk_bytes}))")
+    chunks = keyed.withColumn("place", F.monotonically_increasing_id()).select("page_id", "url", "digest", "size", "place", F.posexplode(cut).alias("chunk_no", "chunk"))
+    joined = chunks.join(decided, (chunks.page_id == decided.of_page) & (chunks.digest == decided.of_digest), "left")
+    return joined.select("page_id", "url", "digest", "size", "first_id", "place", "chunk_no", "chunk").sortWithinPartitions("page_id", "digest", "place", "chunk_no").drop("place")
 
 
 def _header(kind: str, page_id: int, url: str | None, digest: str, size: int, refers: int | None) -> bytes:
