@@ -101,3 +101,9 @@ def test_rows(spark):
     assert got[2].text is None and got[3].text == "" and got[4].text == rows[4][1]
     assert got[7].text == long[: -len(card)] + OWN.value("card", card)
     assert p.pseudonymised(docs.limit(0)).count() == 0
+
+
+def test_addresses_are_linked_whatever_their_case():
+    one, other = (OWN.replaced(t)[0] for t in ("Ann.Lee@Host.org", "ann.lee@host.org"))
+    assert one != other and one.lower() == other.lower() != "ann.lee@host.org"
+    assert [c.isupper() for c in one] == [c.isupper() for c in "Ann.Lee@Host.org"]

@@ -115,8 +115,10 @@ def _by_class(feistel: Feistel, text: str, tweak: str, classes: tuple[str, ...]
 
 
 def _email(feistel: Feistel, text: str) -> str:
+    """One pseudonym for an address however it is capitalised, capitalised alike."""
     head, _, last = text.rpartition(".")
-    return _by_class(feistel, head, "email") + "." + last
+    made = _by_class(feistel, head.lower(), "email")
+    return "".join(c.upper() if h.isupper() else c for c, h in zip(made, head)) + "." + last
 
 
 def _card(feistel: Feistel, text: str) -> str | None:
