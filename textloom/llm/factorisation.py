@@ -157,7 +157,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING)
             rows = [made.of(t, n) for t, n in zip(texts_of(batch), batch.column("n_chars").to_pylist())]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "places": pa.array([r[0].tobytes() for r in rows], pa.binary()), "vals": pa.array([r[1].tobytes() for r in rows], pa.binary()), "quality": batch.column("quality")})
 
-    rows = picked.mapInArrow(features, "doc_id long, places binary, vals binary, quality int").collect()
+    made = picked.mapInArrow(features, "doc_id long, places binary, vals binary, quality int")
+    # Of rows that repeat a doc_id one counts, so no more than ``limit`` come here.
+    rows = made.groupBy("doc_id").agg(F.min(F.struct("places", "vals", "quality")).alias("row")).select("doc_id", "row.*").collect()
     rows.sort(key=lambda r: (r.doc_id, r.places))
     return [(np.frombuffer(r.places, "i4"), np.frombuffer(r.vals, "f4"), int(r.quality > 0)) for r in rows]
 
