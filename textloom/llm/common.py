@@ -30,10 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is what ``spark.checkpoint.dir`` names, in the default file system if it
-    names no other; a folder of our own is set only where the session names
-    none, as on a single machine.
+    names no other; a folder of our own is set only where a session on a
+    single machine names none; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(named)
