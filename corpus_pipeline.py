@@ -2,7 +2,8 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)) and works on all rows
 that the one before it kept; what it returns is written as Parquet in the shared
-folder and read again as the next one's docs.  All but the last return the
+folder and read again as the next one's docs, and what it staged itself is
+deleted then.  All but the last return the
 columns of ``documents``.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import bpe, decontamination, factorisation, near_duplicates, pseudonyms
-from textloom.llm.common import staged, table
+from textloom.llm.common import table, temporaries
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"), shortest=1)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with temporaries(spark) as kept:
+            docs = kept(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
