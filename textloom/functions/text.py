@@ -63,20 +63,27 @@ def char_ngrams(text: Column, n: int) -> Column:
 
 
 #: Plurals that follow no rule, and words without one.
-IRREGULAR = {"child": ["children"], "person": ["people", "persons"], "index": ["indexes", "indices"], "matrix": ["matrices"], "vertex": ["vertices"], "datum": ["data"], "criterion": ["criteria"]}
-UNCOUNTABLE = ["data", "software", "hardware", "information", "middleware", "metadata"]
-
-
-def plurals(term: Column) -> Column:
-    """Plural forms of a term; only its last word changes, and only if it is lower-case letters, three or more."""
+IRREGULAR = {
+    "matrix": ["matrices"], "index": ["indexes", "indices"], "vertex": ["vertices"], "hypothesis": ["hypotheses"],
+    "analysis": ["analyses"], "axis": ["axes"], "criterion": ["criteria"], "leaf": ["leaves"], "child": ["children"],
+    "basis": ["bases"], "datum": ["data"], "appendix": ["appendices"], "phenomenon": ["phenomena"],
+}
+UNCOUNTABLE = [
+    "data", "software", "hardware", "feedback", "information", "knowledge", "research", "evidence",
+    "code", "middleware", "malware", "ransomware", "overhead", "metadata", "bandwidth", "throughput",
+]
+
+
+def plurals(term: Column, irregular: dict[str, list[str]] = IRREGULAR, uncountable: list[str] = UNCOUNTABLE) -> Column:
+    """Plural forms of a term by a table of exceptions; only its last word changes, and only if it is lower-case letters, three or more."""
     word = F.element_at(F.split(term, " "), -1)
     stem = F.substring(term, F.lit(1), F.length(term) - F.length(word))
     none = F.array().cast("array<string>")
-    irregular = F.create_map(*[x for k, v in IRREGULAR.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    exceptions = F.create_map(*[x for k, v in irregular.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     form = (
-        F.when(~word.rlike("^[a-z]{3,}$") | word.isin(UNCOUNTABLE), none)
+        F.when(~word.rlike(r"^\p{Ll}{3,}$") | word.isin(uncountable), none)
         .when(word.rlike("s$") & ~word.rlike("(ss|us|is|as)$"), none)
-        .when(F.map_contains_key(irregular, word), F.try_element_at(irregular, word))
+        .when(F.map_contains_key(exceptions, word), F.try_element_at(exceptions, word))
         .when(word.rlike("(s|x|z|ch|sh)$"), F.array(F.concat(word, F.lit("es"))))
         .when(word.rlike("[^aeiou]y$"), F.array(F.concat(F.regexp_replace(word, "y$", ""), F.lit("ies"))))
         .otherwise(F.array(F.concat(word, F.lit("s"))))

@@ -57,7 +57,7 @@ def font_profile(glyphs: DataFrame, font: str, width: str) -> DataFrame:
     """Each font's glyphs, modal width and the share of glyphs within 0.02 of it."""
     counts = glyphs.groupBy(font, F.round(width, 2).alias("w")).agg(F.count("*").alias("n"))
     modal = counts.groupBy(font).agg(F.max_by("w", F.struct("n", -F.col("w"))).alias("modal"), F.sum("n").alias("n"))
-    near = counts.join(F.broadcast(modal.select(font, "modal")), font).groupBy(font).agg(F.sum(F.when(F.abs(F.col("w") - F.col("modal")) <= 0.0201, F.col("n")).otherwise(0)).alias("near"))
+    near = counts.join(modal.select(font, "modal"), font).groupBy(font).agg(F.sum(F.when(F.abs(F.col("w") - F.col("modal")) <= 0.0201, F.col("n")).otherwise(0)).alias("near"))
     return modal.join(near, font).select(font, "n", "modal", F.round(F.col("near") / F.col("n"), 6).alias("share"))
 
 
@@ -69,12 +69,17 @@ def overlapping(a: DataFrame, b: DataFrame, page: str, how: str) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """node, ancestor and distance for every node; depth by depth, so a level costs one join."""
-    level = nodes.filter(F.col(parent).isNotNull()).select(F.col(node), F.col(parent).alias("ancestor"), F.lit(1).cast("long").alias("distance"))
-    up = nodes.filter(F.col(parent).isNotNull()).select(F.col(node).alias("_n"), F.col(parent).alias("_a"))
+    """node, ancestor and distance for every node; depth by depth, so a level costs one join.
+
+    Where parents form a cycle a node's ancestors end before the first that
+    repeats.  The folder of ``spark.checkpoint.dir`` must be set.
+    """
+    edges = nodes.filter(F.col(parent).isNotNull()).select(F.col(node).alias("_n"), F.col(parent).alias("_a"))
+    level = edges.select(F.col("_n").alias(node), F.col("_a").alias("ancestor"), F.lit(1).cast("long").alias("distance")).filter(F.col(node) != F.col("ancestor"))
     found = level
     while True:
-        level = level.join(up, F.col("ancestor") == F.col("_n")).select(F.col(node), F.col("_a").alias("ancestor"), (F.col("distance") + 1).alias("distance")).checkpoint()
+        further = level.join(edges, F.col("ancestor") == F.col("_n")).select(F.col(node), F.col("_a").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
+        level = further.filter(F.col(node) != F.col("ancestor")).join(found.select(node, "ancestor"), [node, "ancestor"], "left_anti").dropDuplicates([node, "ancestor"]).checkpoint()
         if level.isEmpty():
             return found
         found = found.union(level)

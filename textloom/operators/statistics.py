@@ -12,8 +12,10 @@ def average_rank(value: str, group: str) -> Column:
 
 
 def spearman(rows: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """Correlation of ranks; null where all values of one side are equal."""
     ranked = rows.select(group, average_rank(a, group).alias("ra"), average_rank(b, group).alias("rb"))
-    return ranked.groupBy(group).agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("rho"))
+    spread = F.nullif(F.sqrt(F.var_pop("ra") * F.var_pop("rb")), F.lit(0.0))
+    return ranked.groupBy(group).agg(F.count("*").alias("n"), F.round(F.covar_pop("ra", "rb") / spread, 6).alias("rho"))
 
 
 def auc(rows: DataFrame, group: str, score: str, positive: Column) -> DataFrame:

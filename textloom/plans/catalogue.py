@@ -90,6 +90,9 @@ def glossary_conflicts(spark, sf_dir):
     return glossary.conflicts(parts_as_entries(spark, sf_dir)).select("source", "target", "ord", "previous")
 
 
+#: A table of exceptions that the query gives; ``plural_forms_of_terms`` takes the engine's own.
+_EXCEPTIONS = {"child": ["children"], "person": ["people", "persons"], "index": ["indexes", "indices"], "matrix": ["matrices"]}
+_NO_PLURAL = ["data", "software", "hardware", "information", "middleware", "metadata"]
 _WORDS = ["child", "person", "index", "matrix", "data", "hardware", "class", "bus", "analysis", "box", "branch", "quiz", "query", "key", "node", "nodes", "GPU", "DNS", "open file", "open index", "two-way", "of", "Node"]
 
 
@@ -104,7 +107,7 @@ f AS (SELECT term, left(term, len(term) - len(word)) AS stem, CASE
 SELECT term, stem || unnest(forms) AS form FROM f"""
 )
 def plural_forms(spark, sf_dir):
-    return spark.createDataFrame([(w,) for w in _WORDS], "term string").select("term", F.explode(tx.plurals(F.col("term"))).alias("form"))
+    return spark.createDataFrame([(w,) for w in _WORDS], "term string").select("term", F.explode(tx.plurals(F.col("term"), _EXCEPTIONS, _NO_PLURAL)).alias("form"))
 
 
 _COORD_TERMS = [(f"{a} {b}",) for a in ("the", "in", "of", "that", "on") for b in ("is", "the", "of", "to", "a", "in", "was", "be")]

@@ -31,6 +31,8 @@ class Units(HTMLParser):
             self.units.append((self.tag, text, leaf))
 
     def handle_starttag(self, tag, attrs):
+        if "head" in self.skip and (tag == "body" or tag in BLOCKS):
+            self.skip.clear()  # the page's head may be left open
         if tag in SKIPPED:
             self.skip.append(tag)
         elif tag in BLOCKS:
