@@ -5,9 +5,9 @@ import os
 import pytest
 
 from tests import oracle
-from textloom.plans import catalogue, layouts, more
+from textloom.plans import books, catalogue, layouts, more
 
-assert more and layouts  # adds to the catalogue
+assert books and more and layouts  # adds to the catalogue
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 

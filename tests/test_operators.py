@@ -5,8 +5,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from textloom.functions import predicates
 from textloom.functions import text as tx
-from textloom.operators import context, glossary, layout, matching, multisets, selection, statistics
+from textloom.operators import books, context, glossary, layout, matching, multisets, pages, selection, statistics
 from textloom.sources import files, html_units, sinks
 from textloom.streaming import progress
 
@@ -174,3 +175,57 @@ def test_key_lookup_in_three_tiers(spark):
     want = {i: brute(k) for i, k in left if brute(k)}
     assert {r.id: (r.value, r.tier) for r in found.collect()} == want
     assert want[1] == (2, 1) and want[3] == (4, 3) and want[7] == (7, 3) and 9 not in want
+
+
+def test_terms_of_any_length_and_characters(spark):
+    listed = ["two-way", "two-way merge", "the big red sort", "c++", "café", "node.js", "sort key", "GPU", "leaf"]
+    docs = spark.createDataFrame([(1, "A Two-Way  merge by the big red sort of C++, café; node.js and the sort key."), (2, "GPUs, gpu GPU leaves leaf"), (3, "cafés recafé xnode.js c++x"), (4, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([(t,) for t in listed], "term string")
+    got = {(r.doc_id, r.term, r.n) for r in matching.counted_forms(docs, matching.with_plurals(terms)).collect()}
+    assert got == {(1, t, 1) for t in listed[:7]} | {(2, "GPU", 2), (2, "leaf", 2), (3, "café", 1)}
+    assert {r.doc_id for r in matching.containing(docs, spark.createDataFrame([("CAF",)], "word string")).collect()} == {1, 3}
+    assert matching.counted_forms(docs, terms.limit(0).withColumn("form", F.col("term"))).count() == 0
+
+
+def test_forms_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BROADCAST_TERMS", 2)
+    docs = spark.createDataFrame([(1, "leaf leaves tree trees")], "doc_id long, text string")
+    terms = spark.createDataFrame([("leaf",), ("tree",)], "term string")
+    assert {(r.term, r.n) for r in matching.counted_forms(docs, matching.with_plurals(terms)).collect()} == {("leaf", 2), ("tree", 2)}
+
+
+def test_ancestors_of_a_cycle(spark):
+    nodes = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 5), (6, None)], "node long, parent long")
+    got = {(r.node, r.ancestor) for r in pages.ancestors(nodes, "node", "parent").collect()}
+    assert got == {(1, 2), (1, 3), (2, 3), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3)}
+
+
+def test_balanced_tags(spark):
+    cases = [("<p>a<b>c</b></p>", True), ("<p>a<b>c</p></b>", False), ("a<br>b<img src='x'>", True), ("</p>", False), ("<p class='x'>", False), ("<hr/>text", True), ("", True)]
+    rows = spark.createDataFrame(cases, "html string, want boolean").withColumn("got", predicates.balanced(F.col("html"))).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_known_words_by_stem_and_prefix(spark):
+    lexicon = spark.createDataFrame([(k,) for k in ("running", "blue", "green", "station", "реактивный")], "key string")
+    words = spark.createDataFrame([(w,) for w in ("runnings", "blue-green", "blue-grey", "runnin", "restation", "нереактивный", "zzz", "green")], "word string")
+    got = {r.word for r in books.known(words, lexicon, ["s", "ing"], [], ["re", "не"]).collect()}
+    assert got == {"runnings", "blue-green", "runnin", "restation", "нереактивный", "green"}
+
+
+def test_streams_of_events(spark, tmp_path):
+    rows = [(1, "a", "2024-01-01 00:00:00"), (1, "a", "2024-01-01 00:01:00"), (2, "b", "2024-01-01 00:20:00")]
+    events = spark.createDataFrame(rows, "id long, kind string, at string").select("id", "kind", F.to_timestamp("at").alias("ts"))
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+
+    def result(df, name):
+        run = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert sorted(r.id for r in result(progress.first_events(stream(), ["id"], "ts", "1 hour"), "firsts")) == [1, 2]
+    joined = result(progress.followed(stream(), stream(), "id", "ts", "5 minutes", "1 hour"), "joined")
+    assert sorted((r.id, (r.followed_at - r.ts).seconds) for r in joined) == [(1, 0), (1, 0), (1, 60), (2, 0)]
+    batch = {(r.started.strftime("%H:%M"), r.kind): r.n for r in progress.sliding(events, "ts", "10 minutes", "5 minutes", "kind").collect()}
+    assert batch == {("23:55", "a"): 2, ("00:00", "a"): 2, ("00:15", "b"): 1, ("00:20", "b"): 1}

@@ -218,3 +218,48 @@ def unquoted(text: Column) -> Column:
 def packed_logprobs(tokens: Column, floor: float = 0.5) -> Column:
     """(token, logp, alt) lists of which the alternative stays only where the token's probability is below the floor."""
     return F.transform(tokens, lambda t: F.struct(t["token"].alias("token"), F.round(t["logp"], 3).alias("logp"), F.when(F.exp(t["logp"]) < floor, t["alt"]).alias("alt")))
+
+
+def term_tokens(text: Column) -> Column:
+    """Words as terms are made of: letters and digits, parts joined by - or ', and trailing + or #."""
+    return F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9]*(?:[-'’][A-Za-z0-9]+)*(?:[+#]+)?)"), 1)
+
+
+def without_tags(html: Column) -> Column:
+    """Without blocks of code, and with a space for every tag."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<pre\b.*?</pre>", " "), "<[^>]*>", " ")
+
+
+def escaped_tags(html: Column, names: list[str]) -> Column:
+    """Tags of the given names, without attributes, in other brackets."""
+    return F.regexp_replace(html, f"<(/?)({'|'.join(names)})>", "‹$1$2›")
+
+
+def unescaped_tags(text: Column, names: list[str]) -> Column:
+    return F.regexp_replace(text, f"‹(/?)({'|'.join(names)})›", "<$1$2>")
+
+
+def without_last_sentence(text: Column) -> Column:
+    """Without the last sentence, if at least 40 per cent of the text stays."""
+    parts = F.split(text, "[.] ")
+    kept = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), ". ")
+    return F.when((F.size(parts) > 1) & (F.length(kept) * 10 >= F.length(text) * 4), F.concat(kept, F.lit("."))).otherwise(text)
+
+
+def other_number(text: Column) -> Column:
+    """With the first number changed: two more if it is below ten, else twice."""
+    digits = F.regexp_extract(text, "([0-9]{1,9})", 1)
+    value = F.try_to_number(F.nullif(digits, F.lit("")), F.lit("999999999")).cast("long")
+    at = F.instr(text, digits)
+    changed = F.when(value < 10, value + 2).otherwise(value * 2).cast("string")
+    return F.when(digits != "", F.concat(F.substring(text, F.lit(1), at - 1), changed, F.substring(text, at + F.length(digits), F.length(text)))).otherwise(text)
+
+
+def page_run(name: Column) -> tuple[Column, Column, Column]:
+    """book, first and last page of a folder's name such as name_epub_p12-40."""
+    pattern = r"^(.+)_epub_p([0-9]+)-([0-9]+)$"
+    return F.regexp_extract(name, pattern, 1).alias("book"), F.regexp_extract(name, pattern, 2).cast("long").alias("first"), F.regexp_extract(name, pattern, 3).cast("long").alias("last")
+
+
+def mean_of(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x) / F.size(numbers)

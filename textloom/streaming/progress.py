@@ -42,3 +42,24 @@ def rates(events: DataFrame, user: str, ts: str, order: str, samples: int = 60)
 def tumbling(events: DataFrame, ts: str, width: str, key: str, late: str | None = None) -> DataFrame:
     rows = events.withWatermark(ts, late) if late else events
     return rows.groupBy(F.window(ts, width).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("started"), key, "n", "total")
+
+
+def sliding(events: DataFrame, ts: str, width: str, step: str, key: str, late: str | None = None) -> DataFrame:
+    """Events of each key in windows that overlap; with ``late`` a watermark bounds the state of a stream."""
+    rows = events.withWatermark(ts, late) if late else events
+    return rows.groupBy(F.window(ts, width, step).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), key, "n")
+
+
+def first_events(events: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
+    """One row for each of ``keys`` among those that arrive within ``late``; of a table, one row for each."""
+    if events.isStreaming:
+        return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return events.dropDuplicates(keys)
+
+
+def followed(first: DataFrame, second: DataFrame, key: str, ts: str, within: str, late: str) -> DataFrame:
+    """key, ts and followed_at: rows of two streams of which the second comes within a time after the first."""
+    a = first.withWatermark(ts, late).select(F.col(key), F.col(ts))
+    b = second.withWatermark(ts, late).select(F.col(key).alias("_key"), F.col(ts).alias("followed_at"))
+    soon = (F.col(key) == F.col("_key")) & (F.col("followed_at") >= F.col(ts)) & (F.col("followed_at") <= F.col(ts) + F.expr(f"INTERVAL {within}"))
+    return a.join(b, soon).drop("_key")
