@@ -229,3 +229,48 @@ def test_streams_of_events(spark, tmp_path):
     assert sorted((r.id, (r.followed_at - r.ts).seconds) for r in joined) == [(1, 0), (1, 0), (1, 60), (2, 0)]
     batch = {(r.started.strftime("%H:%M"), r.kind): r.n for r in progress.sliding(events, "ts", "10 minutes", "5 minutes", "kind").collect()}
     assert batch == {("23:55", "a"): 2, ("00:00", "a"): 2, ("00:15", "b"): 1, ("00:20", "b"): 1}
+
+
+def test_glossary_scans(spark, tmp_path):
+    (tmp_path / "net.csv").write_text("source,target\nC#,sharp\n# note,x\nhost,узел\n", encoding="utf-8-sig")
+    (tmp_path / "base.csv").write_text("source,target\na,b\n")
+    (tmp_path / "keep.csv").write_text("source,target\nk,k\n")
+    folder = str(tmp_path)
+    assert {(r.domain, r.source) for r in files.glossary(spark, folder, hash_inside=True, but=("base", "keep")).collect()} == {("net", "C#"), ("net", "host")}
+    assert {(r.domain, r.n) for r in files.glossary_sizes(spark, folder).collect()} == {("net", 3), ("base", 1)}
+    rules = tmp_path / "senses.txt"
+    rules.write_text('# head\nword,own,own_target,conflict_domains,alt_target,alt_cues,own_cues,verb,default\ntree,cs math,дерево,bio,,"leaf|root, bark",,,\n# more\nport,net,порт,,,,,,none\n')
+    got = {r.word: (r.own, r.conflict, r.alt_cues, r.default) for r in files.sense_rules(spark, str(rules)).collect()}
+    assert got == {"tree": (["cs", "math"], ["bio"], "leaf|root, bark", "own"), "port": (["net"], [], None, "none")}
+
+
+def test_books_and_states_are_rewritten(spark, tmp_path):
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("mimetype", "application/epub+zip")
+        z.writestr("b.xhtml", "old")
+        z.writestr("a.xhtml", "same")
+    with zipfile.ZipFile(io.BytesIO(sinks.rewritten_book(packed.getvalue(), {"b.xhtml": "neu é"}))) as z:
+        assert [m.filename for m in z.infolist()] == ["mimetype", "b.xhtml", "a.xhtml"]
+        assert z.infolist()[0].compress_type == zipfile.ZIP_STORED and z.read("b.xhtml").decode() == "neu é" and z.read("a.xhtml") == b"same"
+    for state in ({"done": 1}, {"done": 2, "name": "é"}):
+        sinks.write_state(spark, "file://" + str(tmp_path / "state.json"), state)
+    assert (tmp_path / "state.json").read_text(encoding="utf-8") == '{"done": 2, "name": "é"}'
+
+
+def test_scoring_in_batches_resumes(spark, tmp_path):
+    rows = spark.createDataFrame([(k, k * 2) for k in range(6)], "id long, v long")
+    rows.write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    rows.limit(0).withColumn("score", F.lit(0)).write.parquet(out)
+    spark.createDataFrame([(3, 0, 9)], "id long, v long, score int").write.mode("append").parquet(out)
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    progress.scored_in_batches(stream, lambda b: b.withColumn("score", F.lit(1)), out, lambda: spark.read.parquet(out), "id", str(tmp_path / "ck")).awaitTermination(120)
+    assert sorted((r.id, r.score) for r in spark.read.parquet(out).collect()) == [(0, 1), (1, 1), (2, 1), (3, 9), (4, 1), (5, 1)]
+
+
+def test_page_runs_by_source(spark):
+    from textloom.operators import glyphs
+
+    rows = spark.createDataFrame([("b", p, s) for p, s in [(1, "x"), (2, "x"), (3, "y"), (4, "x"), (6, "x")]], "book string, page long, src string")
+    assert sorted((r.src, r.first, r.last) for r in glyphs.runs_of_pages(rows, "book", "page", "src").collect()) == [("x", 1, 2), ("x", 4, 4), ("x", 6, 6), ("y", 3, 3)]

@@ -5,37 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words in capitals that are no names, and those that stress a phrase.
-CAPS_WORDS = ["NOTE", "TIP", "WARNING", "CAUTION", "IMPORTANT"]
-EMPHASIS = ["a", "an", "the", "not", "all", "and", "or", "is", "any", "no"]
-
-
 def has_word(text: Column, term: str) -> Column:
     """Whether a term stands by itself: no letter, digit or hyphen before it, nor one of these or a bracket behind it."""
     escaped = "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in term)
     return text.rlike(rf"(?<![\p{{L}}\p{{N}}_-]){escaped}(?![\p{{L}}\p{{N}}_(-])")
 
 
-def name_only(text: Column) -> Column:
-    """One name: a word with two capitals, or capitals only (six at most, none of ``CAPS_WORDS``), of 30 characters at most."""
-    t = F.trim(text)
-    camel = t.rlike("^[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*$")
-    caps = t.rlike("^[A-Z][A-Z0-9]{1,5}$") & ~t.isin(CAPS_WORDS)
-    return (F.length(t) <= 30) & (camel | caps)
+def name_only(text: Column, caps_words: list[str] = ()) -> Column:
+    """One name: a word of 30 characters at most with two capitals, in brackets or quotes or not, and no mark in it.
 
+    Words in capitals only have six letters at most; ``caps_words`` are none.
+    """
+    word = F.regexp_replace(F.trim(text), r"^[\[\]()«»⟪⟫\"' .:]+|[\[\]()«»⟪⟫\"' .:]+$", "")
+    long_caps = (F.upper(word) == word) & (F.length(word) > 6)
+    return ~text.contains("⟦") & (F.length(F.trim(text)) <= 30) & word.rlike("^[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*$") & ~F.upper(word).isin(list(caps_words)) & ~long_caps
 
-def is_variable(word: Column) -> Column:
-    """At most three characters or no four letters in a row, and no word of ``EMPHASIS``."""
-    return ((F.length(word) <= 3) | ~word.rlike("[A-Za-z]{4}")) & ~F.lower(word).isin(EMPHASIS)
+
+def is_variable(text: Column, emphasis: list[str] = (), indexed: bool = False) -> Column:
+    """At most three characters or no four letters in a row, and, unless it has an index, none of the words that stress a phrase."""
+    t = F.trim(text)
+    shape = (t != "") & ((F.length(t) <= 3) | ~t.rlike("[A-Za-z]{4}"))
+    return shape if indexed else shape & ~F.lower(t).isin(list(emphasis))
 
 
 def numeric_cell(text: Column) -> Column:
-    """Digits with signs, marks, percent and space only."""
-    return text.rlike(r"^[\s0-9.,:;%+\-–—/()$€×]*[0-9][\s0-9.,:;%+\-–—/()$€×]*$")
+    """Digits, white space and signs only."""
+    return text.rlike(r"^[0-9\s.,:;%±≥≤<>=+\-–—−×/()]+$")
 
 
 def ad_line(text: Column) -> Column:
-    return text.rlike(r"(?i)t\.me/|telegram|vk\.com")
+    return text.rlike(r"(?i)(?<![\p{L}\p{N}_])t\.me/|telegram|телеграм|(?<![\p{L}\p{N}_])vk\.com/")
 
 
 def option_letters(text: Column) -> Column:

@@ -263,3 +263,47 @@ def page_run(name: Column) -> tuple[Column, Column, Column]:
 
 def mean_of(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x) / F.size(numbers)
+
+
+#: Ligatures and odd characters of printed pages, and circled numbers.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "\u00a0": " ", "\u00ad": "-"}
+CIRCLED = "❶❷❸❹❺❻❼❽❾❿⓫⓬⓭⓮⓯⓰⓱⓲⓳⓴"
+
+
+def without_ligatures(text: Column) -> Column:
+    for old, new in LIGATURES.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def folded_yo(text: Column) -> Column:
+    """With one spelling of the Cyrillic letter that has two."""
+    return F.translate(text, "ёЁ", "еЕ")
+
+
+def without_marks(text: Column) -> Column:
+    return F.regexp_replace(text, "⟦[^⟧]*⟧", " ")
+
+
+def italics(text: Column) -> Column:
+    """Brackets for italics as tags."""
+    return F.regexp_replace(text, "⟪([^⟫]*)⟫", "<em>$1</em>")
+
+
+def italics_marked(html: Column) -> Column:
+    return F.regexp_replace(html, r"<em(?:\s[^>]*)?>([^<]*)</em>", "⟪$1⟫")
+
+
+def circled(number: Column) -> Column:
+    """A circled number from 1 to 20, others in brackets."""
+    return F.when(number.between(1, len(CIRCLED)), F.substring(F.lit(CIRCLED), number.cast("int"), F.lit(1))).otherwise(F.concat(F.lit("("), number.cast("string"), F.lit(")")))
+
+
+def translated(word: Column, dictionary: dict[str, str]) -> Column:
+    return F.coalesce(*[F.when(word == k, F.lit(v)) for k, v in dictionary.items()], word)
+
+
+def context_after(rest: Column) -> Column:
+    """What a text goes on with: footnote, tag, space (or its end) or text."""
+    note = rest.rlike(r"^<sup(?:[^\p{L}]|$)|^<a(?:[^\p{L}>][^>]*)?>\s*<sup")
+    return F.when(note, "footnote").when(rest.startswith("<"), "tag").when((rest == "") | rest.rlike(r"^\s"), "space").otherwise("text")

@@ -105,3 +105,16 @@ def with_senses(terms: DataFrame, senses: DataFrame, default: str = "own") -> Da
     """terms (key, word, target) with the kind that the map decides, else the default; those decided against lose their target."""
     joined = terms.join(senses.select("key", "word", "kind"), ["key", "word"], "left").withColumn("kind", F.coalesce("kind", F.lit(default)))
     return joined.withColumn("target", F.when(F.col("kind") == "own", F.col("target")))
+
+
+def attempts(rows: DataFrame, unit: list[str], most: int = 3) -> DataFrame:
+    """The attempts that were to be made: up to the first good one, ``most`` at most, the last only if the one before had wrong marks.
+
+    rows: the unit's columns, attempt (from 1), ok and marks_ok.
+    """
+    w = Window.partitionBy(*unit)
+    good = F.min(F.when(F.col("ok") & F.col("marks_ok"), F.col("attempt"))).over(w)
+    before = F.lag("marks_ok").over(w.orderBy("attempt"))
+    decided = rows.withColumns({"_good": good, "_before": before})
+    made = (F.col("attempt") <= most) & (F.col("_good").isNull() | (F.col("attempt") <= F.col("_good"))) & ((F.col("attempt") < most) | ~F.col("_before"))
+    return decided.filter(made).drop("_good", "_before")

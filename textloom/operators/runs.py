@@ -72,3 +72,11 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int, used: DataFrame
     """n rows in an order that a hash of key and seed gives, without those used."""
     left = rows.join(used.select(key), key, "left_anti") if used is not None else rows
     return left.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def listed_models(models: DataFrame, preferred: list[str], hidden: list[str]) -> DataFrame:
+    """name and place of models (name): the preferred ones first, in order, then by name; without those of hidden prefixes."""
+    shown = models.filter(~F.coalesce(*[F.when(F.col("name").startswith(p), F.lit(True)) for p in hidden], F.lit(False)))
+    rank = F.coalesce(*[F.when(F.col("name") == n, F.lit(k)) for k, n in enumerate(preferred)], F.lit(len(preferred)))
+    # A list of models is short: one task orders it.
+    return shown.select("name", F.row_number().over(Window.orderBy(rank, "name")).cast("long").alias("place"))

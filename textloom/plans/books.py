@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import predicates as pr
 from textloom.functions import text as tx
-from textloom.operators import books, matching, statistics
+from textloom.operators import books, glyphs, matching, runs, statistics
 from textloom.plans.catalogue import query, table
 from textloom.streaming import progress
 
@@ -173,11 +173,11 @@ def sense_map(spark, sf_dir):
 
 # ---- predicates and text functions
 
-@query(r"""SELECT conv_id, turn, regexp_matches(lower(text), '(?:^|[^\p{L}\p{N}_-])the(?:$|[^\p{L}\p{N}_(-])') AS has_the, regexp_matches(trim(text, ' '), '^[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*$') AND len(trim(text, ' ')) <= 30 AS camel, (len(text) <= 3 OR NOT regexp_matches(text, '[A-Za-z]{4}')) AND lower(text) NOT IN ('a','an','the','not','all','and','or','is','any','no') AS variable, regexp_matches(text, '(?i)t\.me/|telegram|vk\.com') AS ad, nullif(regexp_extract(text, '^\s*([A-J](?:, [A-J])*)\.\s', 1), '') AS answers,
+@query(r"""SELECT conv_id, turn, regexp_matches(lower(text), '(?:^|[^\p{L}\p{N}_-])the(?:$|[^\p{L}\p{N}_(-])') AS has_the, regexp_matches(text, '^ *[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*[.:]? *$') AND len(trim(text, ' ')) <= 30 AND regexp_matches(text, '[a-z]') AS camel, trim(text, ' ') <> '' AND (len(trim(text, ' ')) <= 3 OR NOT regexp_matches(text, '[A-Za-z]{4}')) AND lower(trim(text, ' ')) NOT IN ('a','an','the','not','all','and','or','is','any','no') AS variable, regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:t\.me/|vk\.com/)|telegram|телеграм') AS ad, regexp_matches(text, '^[0-9\s.,:;%±≥≤<>=+–—−×/()-]+$') AS numeric, nullif(regexp_extract(text, '^\s*([A-J](?:, [A-J])*)\.\s', 1), '') AS answers,
 len(regexp_replace(text, '\p{Cf}', '', 'g')) <> len(text) AS invisible, CAST(len(regexp_extract_all(text, '[A-Za-z]{2,}')) AS BIGINT) AS n_words FROM conversations""")
 def paragraph_predicates(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", pr.has_word(F.lower(t), "the").alias("has_the"), (pr.name_only(t) & t.rlike("[a-z]")).alias("camel"), pr.is_variable(t).alias("variable"), pr.ad_line(t).alias("ad"), pr.answer_letters(t).alias("answers"), t.rlike(r"\p{Cf}").alias("invisible"), F.regexp_count(t, F.lit("[A-Za-z]{2,}")).cast("long").alias("n_words"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", pr.has_word(F.lower(t), "the").alias("has_the"), (pr.name_only(t) & t.rlike("[a-z]")).alias("camel"), pr.is_variable(t, ["a", "an", "the", "not", "all", "and", "or", "is", "any", "no"]).alias("variable"), pr.ad_line(t).alias("ad"), pr.numeric_cell(t).alias("numeric"), pr.answer_letters(t).alias("answers"), t.rlike(r"\p{Cf}").alias("invisible"), F.regexp_count(t, F.lit("[A-Za-z]{2,}")).cast("long").alias("n_words"))
 
 
 @query(r"""SELECT page_id, CAST(len(regexp_replace(regexp_replace(html, '(?is)<pre\b.*?</pre>', ' ', 'g'), '<[^>]*>', ' ', 'g')) AS BIGINT) AS n_stripped, regexp_replace(left(html, 400), '<(/?)(b|i|em|p)>', '‹\1\2›', 'g') AS escaped, CAST(len(regexp_extract_all(html, '(?i)</code>[a-z]')) AS BIGINT) AS glued FROM pages""")
@@ -262,3 +262,85 @@ def callout_groups(spark, sf_dir):
 @query("""WITH w AS (SELECT event_type, value, ts, unnest(range(0, 3)) AS k FROM events), s AS (SELECT event_type, value, time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 5 MINUTE AS started FROM w) SELECT started, event_type, count(*) AS n FROM s GROUP BY ALL""")
 def sliding_windows(spark, sf_dir):
     return progress.sliding(table(spark, sf_dir, "events"), "ts", "15 minutes", "5 minutes", "event_type")
+
+
+# ---- texts mended, runs, glyphs
+
+@query(r"""SELECT conv_id, turn, replace(replace(replace(replace(left(text, 300), 'fi', 'ﬁ'), 'ﬁ', 'fi'), chr(160), ' '), 'ё', 'е') AS plain, regexp_replace(left(text, 300), '⟦[^⟧]*⟧', ' ', 'g') AS unmarked, regexp_replace('⟪' || role || '⟫ ' || left(text, 40), '⟪([^⟫]*)⟫', '<em>\1</em>', 'g') AS italic,
+CASE WHEN turn BETWEEN 1 AND 20 THEN substring('❶❷❸❹❺❻❼❽❾❿⓫⓬⓭⓮⓯⓰⓱⓲⓳⓴', turn, 1) ELSE '(' || turn || ')' END AS number, CASE role WHEN 'user' THEN 'Reader' WHEN 'assistant' THEN 'Helper' ELSE role END AS named FROM conversations""")
+def mended_texts(spark, sf_dir):
+    t = F.substring("text", 1, 300)
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", tx.folded_yo(tx.without_ligatures(F.replace(t, F.lit("fi"), F.lit("ﬁ")))).alias("plain"), tx.without_marks(t).alias("unmarked"), tx.italics(F.concat(F.lit("⟪"), "role", F.lit("⟫ "), F.substring("text", 1, 40))).alias("italic"), tx.circled(F.col("turn")).alias("number"), tx.translated(F.col("role"), {"user": "Reader", "assistant": "Helper"}).alias("named"))
+
+
+@query(r"""WITH c AS (SELECT page_id, html, instr(html, 'p>') AS place FROM pages), r AS (SELECT page_id, place, substring(html, place + 2, 200) AS rest FROM c WHERE place > 0) SELECT page_id, CASE WHEN regexp_matches(rest, '^<sup(?:[^\p{L}]|$)|^<a(?:[^\p{L}>][^>]*)?>\s*<sup') THEN 'footnote' WHEN starts_with(rest, '<') THEN 'tag' WHEN rest = '' OR regexp_matches(rest, '^\s') THEN 'space' ELSE 'text' END AS context FROM r""")
+def contexts_after(spark, sf_dir):
+    at = F.instr("html", F.lit("p>"))
+    return table(spark, sf_dir, "pages").filter(at > 0).select("page_id", tx.context_after(F.substring("html", at + 2, F.lit(200))).alias("context"))
+
+
+@query("""WITH a AS (SELECT user_id AS job, event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS attempt, CAST(ts AS DATE) AS unit, event_type <> 'error' AS ok, value > 50 AS marks_ok FROM events), f AS (SELECT job, unit, min(attempt) FILTER (ok AND marks_ok) AS good FROM a GROUP BY ALL), b AS (SELECT a.*, f.good, lag(marks_ok) OVER (PARTITION BY a.job, a.unit ORDER BY attempt) AS before FROM a JOIN f ON a.job = f.job AND a.unit = f.unit)
+SELECT job, event_id, attempt FROM b WHERE attempt <= 3 AND (good IS NULL OR attempt <= good) AND (attempt < 3 OR NOT before)""")
+def attempts_made(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), "event_id", F.to_date("ts").alias("unit"), (F.col("event_type") != "error").alias("ok"), (F.col("value") > 50).alias("marks_ok"))
+    rows = rows.withColumn("attempt", F.row_number().over(Window.partitionBy("job", "unit").orderBy("event_id")).cast("long"))
+    return books.attempts(rows, ["job", "unit"]).select("job", "event_id", "attempt")
+
+
+@query("""WITH g AS (SELECT l_orderkey AS page, l_linenumber AS no, CASE WHEN l_suppkey % 4 = 0 THEN 'Courier-Bold' WHEN l_suppkey % 4 = 1 THEN 'Serif-BoldItalic' WHEN l_suppkey % 4 = 2 THEN 'Serif-Italic' ELSE 'Serif' END AS font, CAST(l_quantity AS DOUBLE) AS size, l_returnflag || l_linenumber AS text FROM lineitem), s AS (SELECT *, max(size) OVER (PARTITION BY page) AS line FROM g)
+SELECT page, no, CASE WHEN font LIKE 'Courier%' THEN 'code' WHEN size < 0.75 * line AND regexp_matches(substring(text, 2), '^[0-9*†‡]') THEN 'sup' WHEN font LIKE '%Bold%' AND font LIKE '%Ital%' THEN 'strongem' WHEN font LIKE '%Bold%' THEN 'strong' WHEN font LIKE '%Ital%' THEN 'em' ELSE 'p' END AS class FROM s""")
+def glyph_classes(spark, sf_dir):
+    kind = F.col("l_suppkey") % 4
+    font = F.when(kind == 0, "Courier-Bold").when(kind == 1, "Serif-BoldItalic").when(kind == 2, "Serif-Italic").otherwise("Serif")
+    g = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("no"), font.alias("font"), F.col("l_quantity").cast("double").alias("size"), F.col("l_linenumber").cast("string").alias("text"))
+    return g.select("page", "no", glyphs.glyph_class("font", "size", F.max("size").over(Window.partitionBy("page")), "text").alias("class"))
+
+
+@query("""SELECT l_orderkey AS page, l_linenumber AS no, CAST(l_quantity AS DOUBLE) AS x0, CASE WHEN l_returnflag = 'A' THEN 800 - CAST(l_linenumber AS DOUBLE) - 10 ELSE CAST(l_linenumber AS DOUBLE) END AS top, CASE WHEN l_returnflag = 'A' THEN 800 - CAST(l_linenumber AS DOUBLE) ELSE CAST(l_linenumber AS DOUBLE) + 10 END AS bottom FROM lineitem""")
+def upright_boxes(spark, sf_dir):
+    y = F.col("l_linenumber").cast("double")
+    boxes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("no"), F.col("l_quantity").cast("double").alias("x0"), y.alias("low"), (y + 10).alias("high"), F.when(F.col("l_returnflag") == "A", "BOTTOMLEFT").otherwise("TOPLEFT").alias("origin"))
+    return boxes.select("page", "no", "x0", *glyphs.upright("low", "high", "origin", F.lit(800.0)))
+
+
+@query("""WITH g AS (SELECT l_orderkey AS block, CAST(l_quantity AS DOUBLE) AS size FROM lineitem), c AS (SELECT block, size, count(*) AS n FROM g GROUP BY ALL), d AS (SELECT block, size, sum(n) OVER (PARTITION BY block) AS n FROM c QUALIFY row_number() OVER (PARTITION BY block ORDER BY c.n DESC, size) = 1) SELECT block, size AS dominant FROM d WHERE n <= 80 AND size >= 1.5 * 24""")
+def large_type(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block"), F.col("l_quantity").cast("double").alias("size"))
+    return glyphs.large_type(g, "block", "size", 24.0)
+
+
+@query("""WITH g AS (SELECT l_returnflag AS book, l_orderkey * 10 + l_linenumber AS id, l_linestatus = 'O' AS code FROM lineitem), p AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_quantity > 5) SELECT book, count(*) FILTER (code) AS total, count(*) FILTER (code AND p.id IS NOT NULL) AS placed, count(*) FILTER (code AND p.id IS NULL) AS lost FROM g LEFT JOIN p ON g.id = p.id GROUP BY book""")
+def glyphs_conserved(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("book"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linestatus") == "O").alias("code"), "l_quantity")
+    return glyphs.conserved(g.drop("l_quantity"), g.filter("l_quantity > 5").select("id"), "book")
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, line, regexp_extract(lower(line), '([\\p{L}]+)[^\\p{L}]*$', 1) AS tail FROM w), v AS (SELECT tail AS word, count(*) AS n FROM n WHERE tail <> '' GROUP BY tail),
+p AS (SELECT DISTINCT tail, left(tail, len(tail) // 2) AS a, substring(tail, len(tail) // 2 + 1) AS b FROM n WHERE len(tail) >= 2) SELECT tail, coalesce(h.n, 0) > coalesce(j.n, 0) OR (coalesce(h.n, 0) = coalesce(j.n, 0) AND contains(a, '-')) AS keep FROM p LEFT JOIN v j ON j.word = a || b LEFT JOIN v h ON h.word = a || '-' || b""".replace("\\\\p", "\\p"))
+def kept_hyphens(spark, sf_dir):
+    tails = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(F.regexp_extract(F.lower("line"), r"([\p{L}]+)[^\p{L}]*$", 1).alias("tail")).filter("tail <> ''")
+    vocabulary = tails.groupBy(F.col("tail").alias("word")).agg(F.count("*").alias("n"))
+    half = F.floor(F.length("tail") / 2).cast("int")
+    breaks = tails.distinct().filter(F.length("tail") >= 2).select("tail", F.substring("tail", F.lit(1), half).alias("a"), F.substring("tail", half + 1, F.length("tail")).alias("b"))
+    return glyphs.hyphens_kept(breaks, vocabulary).select("tail", "keep")
+
+
+@query("""WITH f AS (SELECT user_id AS job, max(ts) FILTER (event_type = 'purchase') AS a, max(ts) FILTER (event_type = 'view') AS b, min(ts) FILTER (event_type = 'error') AS lock FROM events GROUP BY user_id) SELECT job, greatest(a, b) AS latest, coalesce(a >= lock, false) AS finished FROM f""")
+def latest_activity(spark, sf_dir):
+    kind = F.col("event_type")
+    times = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job")).agg(F.max(F.when(kind == "purchase", F.col("ts"))).alias("a"), F.max(F.when(kind == "view", F.col("ts"))).alias("b"), F.min(F.when(kind == "error", F.col("ts"))).alias("lock"))
+    return times.select("job", F.greatest("a", "b").alias("latest"), F.coalesce(F.col("a") >= F.col("lock"), F.lit(False)).alias("finished"))
+
+
+@query("""WITH m AS (SELECT DISTINCT p_brand AS name FROM part WHERE NOT starts_with(p_brand, 'Brand#5')) SELECT name, row_number() OVER (ORDER BY CASE name WHEN 'Brand#33' THEN 0 WHEN 'Brand#12' THEN 1 ELSE 2 END, name) AS place FROM m""")
+def models_in_order(spark, sf_dir):
+    return runs.listed_models(table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct(), ["Brand#33", "Brand#12"], ["Brand#5"])
+
+
+@query("""WITH j AS (SELECT o_orderkey AS id, o_custkey AS book, o_orderstatus AS state, 'm' || o_orderkey % 3 AS model FROM orders) SELECT id, NOT (state = 'F' AND id % 3 = 0) AS kept, state = 'O' AND model <> (SELECT min(b.model) FROM j b WHERE b.book = j.book AND b.state = 'P') AS conflict FROM j""")
+def job_decisions(spark, sf_dir):
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("book"), F.col("o_orderstatus").alias("state"), F.concat(F.lit("m"), F.col("o_orderkey") % 3).alias("model"))
+    interrupted = jobs.filter("state = 'P'").groupBy("book").agg(F.min("model").alias("stopped"))
+    removed = (F.col("state") == "F") & (F.col("id") % 3 == 0)
+    return jobs.join(interrupted, "book", "left").select("id", (~removed).alias("kept"), ((F.col("state") == "O") & (F.col("model") != F.col("stopped"))).alias("conflict"))

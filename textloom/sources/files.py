@@ -16,12 +16,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def glossary(spark: SparkSession, path: str) -> DataFrame:
-    """domain, source and target of CSV files with a header; blank and # sources, and those with # inside, are left out."""
+def glossary(spark: SparkSession, path: str, hash_inside: bool = False, but: tuple[str, ...] = ()) -> DataFrame:
+    """domain, source and target of CSV files with a header; blank sources and comments are left out.
+
+    Sources with # inside are kept only with ``hash_inside``; ``but`` names
+    domains (stems of files) that are not read.
+    """
     raw = spark.read.option("header", True).schema("source string, target string, tgt_lng string").csv(path)
     source = F.trim(F.regexp_replace("source", "^" + chr(0xFEFF), ""))
     named = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.csv)?$", 1).alias("domain"), source.alias("source"), F.trim("target").alias("target"))
-    return named.filter((F.col("source") != "") & ~F.col("source").contains("#"))
+    comment = F.col("source").startswith("#") if hash_inside else F.col("source").contains("#")
+    return named.filter((F.col("source") != "") & ~comment & ~F.col("domain").isin(list(but)))
+
+
+def glossary_sizes(spark: SparkSession, path: str, but: tuple[str, ...] = ("keep",)) -> DataFrame:
+    """domain and the number of its terms, files without a term included."""
+    lines = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.csv)?$", 1).alias("domain"))
+    return lines.filter(~F.col("domain").isin(list(but))).groupBy("domain").agg((F.count("*") - 1).alias("n"))
+
+
+def sense_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules for words of several senses: CSV with # comment lines anywhere and quoted patterns; lists of domains are arrays."""
+    raw = spark.read.option("header", True).option("comment", "#").option("quote", '"').option("escape", '"').csv(path)
+    listed = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda d: d != "")
+    default = F.coalesce(F.nullif(F.trim("default"), F.lit("")), F.lit("own")) if "default" in raw.columns else F.lit("own")
+    return raw.select(F.trim("word").alias("word"), listed("own").alias("own"), "own_target", listed("conflict_domains").alias("conflict"), "alt_target", "alt_cues", "own_cues", "verb", default.alias("default"))
 
 
 def journal(spark: SparkSession, path: str, schema: StructType | str, strict: bool = False) -> DataFrame:

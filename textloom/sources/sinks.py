@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+import json
+import zipfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,3 +33,35 @@ def write_words(words: DataFrame, path: str) -> None:
 def write_wide(rows: DataFrame, path: str, key: str, column: str, value: str, columns: list[str]) -> None:
     """A table with a column for each of the named values."""
     rows.groupBy(key).pivot(column, columns).agg(F.first(value)).write.mode("overwrite").option("header", True).csv(path)
+
+
+def rewritten_book(book: bytes, changed: dict[str, str]) -> bytes:
+    """A packed book with some members replaced: members keep their order, and the first, its type, stays unpacked."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(out, "w") as new:
+        for member in old.infolist():
+            packed = zipfile.ZIP_STORED if member.filename == "mimetype" else zipfile.ZIP_DEFLATED
+            data = changed[member.filename].encode() if member.filename in changed else old.read(member)
+            new.writestr(zipfile.ZipInfo(member.filename, member.date_time), data, packed)
+    return out.getvalue()
+
+
+def write_state(spark: SparkSession, path: str, state: dict) -> None:
+    """A small record of a job as JSON: written beside its place and put there by a rename that replaces the old one."""
+    jvm = spark.sparkContext._jvm
+    final = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    stream = beside.getFileSystem(conf).create(beside, True)
+    try:
+        stream.write(bytearray(json.dumps(state, ensure_ascii=False, sort_keys=True).encode()))
+    finally:
+        stream.close()
+    replaced = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replaced[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(beside, final, replaced)
+
+
+def write_report(lines: DataFrame, path: str, order: str, line: str) -> None:
+    """Lines of text in order."""
+    lines.orderBy(order).select(F.col(line).alias("value")).write.mode("overwrite").text(path)

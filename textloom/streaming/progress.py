@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +65,19 @@ def followed(first: DataFrame, second: DataFrame, key: str, ts: str, within: str
     b = second.withWatermark(ts, late).select(F.col(key).alias("_key"), F.col(ts).alias("followed_at"))
     soon = (F.col(key) == F.col("_key")) & (F.col("followed_at") >= F.col(ts)) & (F.col("followed_at") <= F.col(ts) + F.expr(f"INTERVAL {within}"))
     return a.join(b, soon).drop("_key")
+
+
+def scored_in_batches(rows: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, done: Callable[[], DataFrame | None], key: str, folder: str):
+    """Starts a stream that scores what ``done`` doesn't have yet, batch by batch, and appends each before the next."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = done()
+        fresh = batch if seen is None else batch.join(seen.select(key), key, "left_anti")
+        score(fresh).write.mode("append").parquet(path)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", folder).trigger(availableNow=True).start()
+
+
+def idle(gauges: DataFrame, run: str, ts: str, now: Column, after: str = "120 seconds") -> DataFrame:
+    """Runs without a row for so long: what may be unloaded."""
+    return gauges.groupBy(run).agg(F.max(ts).alias("last")).filter(F.col("last") + F.expr(f"INTERVAL {after}") <= now)
