@@ -3,8 +3,12 @@
 import base64
 import gzip
 import hashlib
+import os
 
-from textloom.llm import warc
+import pytest
+
+from tests import oracle
+from textloom.llm import queries, warc
 from textloom.llm.common import SharedFiles
 
 
@@ -51,3 +55,9 @@ def test_archives_are_plain_warc_and_chunks_whole(spark, tmp_path):
     assert max(len(c.chunk) for c in chunks) <= warc.CHUNK_BYTES
     whole = b"".join(c.chunk for c in sorted((c for c in chunks if c.page_id == 5), key=lambda c: c.chunk_no))
     assert whole == ("é" * 400_000).encode()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_query_equals_sql(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    assert oracle.compare(spark, oracle.connect(sf_dir), queries.QUERIES["op5_warc"], queries.ORACLE_SQL["op5_warc"], sf_dir) is None
