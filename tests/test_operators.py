@@ -274,3 +274,14 @@ def test_page_runs_by_source(spark):
 
     rows = spark.createDataFrame([("b", p, s) for p, s in [(1, "x"), (2, "x"), (3, "y"), (4, "x"), (6, "x")]], "book string, page long, src string")
     assert sorted((r.src, r.first, r.last) for r in glyphs.runs_of_pages(rows, "book", "page", "src").collect()) == [("x", 1, 2), ("x", 4, 4), ("x", 6, 6), ("y", 3, 3)]
+
+
+def test_code_shapes(spark):
+    cases = {"run()": "call", "os.path": "dotted", "max_size": "snake", "--force": "flag", "@Bean": "annotation", "getName": "camel", "HashMap": "pascal", "word": None, "": None}
+    rows = spark.createDataFrame([(w,) for w in cases], "word string").select("word", tx.code_shape(F.col("word")).alias("shape")).collect()
+    assert {r.word: r.shape for r in rows} == cases
+
+
+def test_rank_correlation_without_spread(spark):
+    rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 5), ("c", 1, 7), ("c", 2, 7)], "g string, x long, y long")
+    assert {r.g: r.rho for r in statistics.spearman(rows, "g", "x", "y").collect()} == {"a": 1.0, "b": None, "c": None}

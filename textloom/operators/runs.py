@@ -69,9 +69,9 @@ def better_version(rows: DataFrame, kind: str, a: str, b: str) -> DataFrame:
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int, used: DataFrame | None = None) -> DataFrame:
-    """n rows in an order that a hash of key and seed gives, without those used."""
+    """n rows in an order that a hash of seed and key gives, the same in any engine, without those used."""
     left = rows.join(used.select(key), key, "left_anti") if used is not None else rows
-    return left.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return left.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def listed_models(models: DataFrame, preferred: list[str], hidden: list[str]) -> DataFrame:

@@ -42,7 +42,7 @@ def plural_forms_of_terms(spark, sf_dir):
     return spark.createDataFrame([(w,) for w in words], "term string").select("term", F.explode(tx.plurals(F.col("term"))).alias("form"))
 
 
-_LONG_WORD = r"([a-z]{14,})"
+_LONG_WORD = r"([a-z]{11,})"
 
 
 @query(rf"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{_LONG_WORD}', 1)) AS word FROM benchmark) SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM w WHERE contains(lower(text), word))""")
