@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import predicates
 from textloom.functions import text as tx
-from textloom.operators import books, context, glossary, layout, matching, multisets, pages, selection, statistics
+from textloom.operators import books, context, glossary, layout, matching, multisets, pages, ranges, selection, statistics
 from textloom.sources import files, html_units, sinks
 from textloom.streaming import progress
 
@@ -285,3 +285,28 @@ def test_code_shapes(spark):
 def test_rank_correlation_without_spread(spark):
     rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 5), ("c", 1, 7), ("c", 2, 7)], "g string, x long, y long")
     assert {r.g: r.rho for r in statistics.spearman(rows, "g", "x", "y").collect()} == {"a": 1.0, "b": None, "c": None}
+
+
+def test_running_sums_in_ranges_equal_one_pass(spark):
+    rows = [(g, v, v % 7) for g, size in (("a", 3000), ("b", 1), (None, 40)) for v in range(size)] + [("b", None, 5)]
+    df = spark.createDataFrame(rows, "g string, v long, n long").repartition(3)
+    want = {}
+    for g in {r[0] for r in rows}:
+        before = 0
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0))
+        for _, v, n in own:
+            want[g, v] = (before, sum(r[2] for r in own))
+            before += n
+    for cuts in (ranges.number_cuts(df, ["g"], "v"), ranges.sampled_cuts(df, ["g"], F.col("v"))):
+        got = {(r.g, r.v): (r.before_n, r.all_n) for r in ranges.running_sums(df, ["g"], F.col("v"), ["n"], cuts).collect()}
+        assert got == want
+    cut = {r.g: len(r._cuts) for r in ranges.number_cuts(df, ["g"], "v").collect()}
+    assert 200 < cut["a"] <= ranges.PARTS
+
+
+def test_ranks_and_budget_with_nulls_ties_and_no_rows(spark):
+    rows = spark.createDataFrame([("g", 1, 5), ("g", 1, 5), ("g", None, 2), (None, 3, 1)], "g string, a int, b int")
+    assert {(r.g, r.a): (r.n, r.rank) for r in statistics.value_ranks(rows, "g", "a").collect()} == {("g", None): (1, 1.0), ("g", 1): (2, 2.5), (None, 3): (1, 1.0)}
+    assert {r.g: r.rho for r in statistics.spearman(rows, "g", "a", "b").collect()} == {"g": 1.0, None: None}
+    assert statistics.spearman(rows.limit(0), "g", "a", "b").count() == 0
+    assert selection.greedy_budget(rows.limit(0), "b", 20, "a", group="g").count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import ranges
+
 
 def first_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in an explicit order."""
@@ -17,16 +19,18 @@ def top_of(rows: DataFrame, keys: list[str], most: int, *order) -> DataFrame:
     return rows.withColumn("place", rank.cast("long")).filter(F.col("place") <= most)
 
 
-def greedy_budget(rows: DataFrame, size: str, share: float, *priority, group: str | None = None) -> DataFrame:
+def greedy_budget(rows: DataFrame, size: str, share: float, *priority: Column | str, group: str | None = None) -> DataFrame:
     """Rows in priority order while the sizes before them stay below a share of the total; the one that crosses counts.
 
-    With ``group`` each group has its own budget, which is how a corpus is
-    worked on: one book is one partition.
+    priority: values that are taken in ascending order, nulls first, together
+    different for each row.  With ``group`` each group has its own budget.
     """
-    keys = [group] if group else []
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(*priority).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.greatest(F.sum(size).over(Window.partitionBy(*keys)), F.lit(1))
-    return rows.withColumns({"_before": before, "_total": total}).filter(F.col("_before") * 100 < F.col("_total") * share).drop("_before", "_total")
+    key = group or "_all"
+    marked = rows if group else rows.withColumn(key, F.lit(0))
+    order = F.struct(*[(F.col(p) if isinstance(p, str) else p).alias(f"_{i}") for i, p in enumerate(priority)])
+    summed = ranges.running_sums(marked, [key], order, [size], ranges.sampled_cuts(marked, [key], order))
+    kept = summed.filter(F.col(f"before_{size}") * 100 < F.greatest(f"all_{size}", F.lit(1)) * share)
+    return kept.select(*rows.columns)
 
 
 def best_attempt(attempts: DataFrame, item: str, attempt: str, *flags: str) -> DataFrame:

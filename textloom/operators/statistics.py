@@ -5,32 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import ranges
 
-def average_rank(value: str, group: str) -> Column:
-    """Ranks from 1 with equal values sharing their mean."""
-    return F.rank().over(Window.partitionBy(group).orderBy(value)) + (F.count("*").over(Window.partitionBy(group, value)) - 1) / 2
+
+def value_ranks(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, value, n rows of that value, and rank from 1, equal values sharing their mean; nulls come first.
+
+    Values are counted before they are ordered, and ordered in ranges.
+    """
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
+    summed = ranges.running_sums(counts, [group], F.col(value), ["n"], ranges.number_cuts(counts, [group], value))
+    return summed.select(group, value, "n", "all_n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman(rows: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """Correlation of ranks; null where all values of one side are equal."""
-    ranked = rows.select(group, average_rank(a, group).alias("ra"), average_rank(b, group).alias("rb"))
-    spread = F.nullif(F.sqrt(F.var_pop("ra") * F.var_pop("rb")), F.lit(0.0))
-    return ranked.groupBy(group).agg(F.count("*").alias("n"), F.round(F.covar_pop("ra", "rb") / spread, 6).alias("rho"))
+    pairs = rows.groupBy(group, a, b).agg(F.count("*").alias("_n"))
+    centred = F.col("rank") - (F.col("all_n") + 1) / 2
+    ranked = pairs
+    for side, name in ((a, "_ra"), (b, "_rb")):
+        ranks = value_ranks(rows, group, side).select(F.col(group).alias("_g"), F.col(side).alias("_v"), centred.alias(name))
+        ranked = ranked.join(ranks, F.col(group).eqNullSafe(F.col("_g")) & F.col(side).eqNullSafe(F.col("_v"))).drop("_g", "_v")
+    n, x, y = F.col("_n"), F.col("_ra"), F.col("_rb")
+    sums = ranked.groupBy(group).agg(F.sum(n).alias("n"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    spread = F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))
+    return sums.select(group, "n", F.round(F.col("xy") / spread, 6).alias("rho"))
 
 
 def auc(rows: DataFrame, group: str, score: str, positive: Column) -> DataFrame:
-    """The chance that a positive scores above a negative, ties half, by ranks: n log n and no pairs."""
-    ranked = rows.select(group, positive.alias("pos"), average_rank(score, group).alias("r"))
-    sums = ranked.groupBy(group).agg(F.sum(F.when(F.col("pos"), F.col("r")).otherwise(0.0)).alias("s"), F.count_if("pos").alias("n_pos"), F.count_if(~F.col("pos")).alias("n_neg"))
-    value = (F.col("s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))
-    return sums.select(group, "n_pos", "n_neg", F.round(value, 6).alias("auc"))
+    """The chance that a positive scores above a negative, ties half, from counts of each score: no pairs."""
+    counts = rows.groupBy(group, score).agg(F.count_if(positive).alias("n_pos"), F.count_if(~positive).alias("n_neg"))
+    summed = ranges.running_sums(counts, [group], F.col(score), ["n_neg"], ranges.number_cuts(counts, [group], score))
+    above = F.sum(F.col("n_pos") * (F.col("before_n_neg") + F.col("n_neg") / 2))
+    sums = summed.groupBy(group).agg(above.alias("s"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+    return sums.select(group, "n_pos", "n_neg", F.round(F.col("s") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0)), 6).alias("auc"))
 
 
 def order_threshold(rows: DataFrame, group: str, score: str, percent: int) -> DataFrame:
     """Each group's score at the exact place floor(n * percent / 100) of the ascending order, counted from 0."""
-    by = Window.partitionBy(group)
-    ranked = rows.select(group, score, F.row_number().over(by.orderBy(score)).alias("rn"), F.count("*").over(by).alias("n"))
-    return ranked.filter(F.col("rn") == F.floor(F.col("n") * percent / 100) + 1).select(group, F.col(score).alias("threshold"), "n")
+    counts = rows.groupBy(group, score).agg(F.count("*").alias("n"))
+    summed = ranges.running_sums(counts, [group], F.col(score), ["n"], ranges.number_cuts(counts, [group], score))
+    place = F.floor(F.col("all_n") * percent / 100)
+    return summed.filter((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n"))).select(group, F.col(score).alias("threshold"), F.col("all_n").alias("n"))
 
 
 def exact_mode(rows: DataFrame, group: str, value: str) -> DataFrame:

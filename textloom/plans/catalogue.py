@@ -115,12 +115,12 @@ _COORD_TERMS = [(f"{a} {b}",) for a in ("the", "in", "of", "that", "on") for b i
 
 @query(
     "WITH terms(term) AS (VALUES " + ", ".join(f"('{t}')" for (t,) in _COORD_TERMS) + r"""),
-p AS (SELECT unnest(regexp_extract_all(lower(text), '(?:^|[^a-z])([a-z]+ (?:and|or) [a-z]+ [a-z]+)', 1)) AS phrase FROM documents WHERE lang = 'en'),
+p AS (SELECT unnest(regexp_extract_all(lower(text), '(?:^|[^a-z])([a-z]+ (?:and|or) [a-z]+ [a-z]+)', 1)) AS phrase FROM documents),
 c AS (SELECT phrase, count(*) AS n FROM p GROUP BY phrase), s AS (SELECT phrase, n, string_split(phrase, ' ') AS w FROM c)
 SELECT phrase, n FROM s WHERE w[1] || ' ' || w[4] IN (SELECT term FROM terms) AND w[3] || ' ' || w[4] IN (SELECT term FROM terms)"""
 )
 def coordinations(spark, sf_dir):
-    return glossary.coordinations(table(spark, sf_dir, "documents").filter("lang = 'en'"), spark.createDataFrame(_COORD_TERMS, "term string"))
+    return glossary.coordinations(table(spark, sf_dir, "documents"), spark.createDataFrame(_COORD_TERMS, "term string"))
 
 
 def counted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,28 +150,21 @@ def evidence_ladder(spark, sf_dir):
     return units.select("unit_no", context.ladder([(F.col("own" + s), F.col("alt" + s)) for s in ("", "_near", "_sec", "_ch")]).alias("decided"))
 
 
-@query(r"""WITH s AS (SELECT doc_id AS unit, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en'),
-v AS (SELECT unit, regexp_matches(line, '\bof\b') AS own_cue, regexp_matches(line, '\bto\b') AS alt_cue, regexp_matches(line, '^Th') AS verb FROM s),
+@query(r"""WITH s AS (SELECT doc_id AS unit, unnest(string_split(text, chr(10))) AS line FROM documents),
+v AS (SELECT unit, regexp_matches(line, '(^|[^A-Za-z0-9_])of($|[^A-Za-z0-9_])') AS own_cue, regexp_matches(line, '(^|[^A-Za-z0-9_])to($|[^A-Za-z0-9_])') AS alt_cue, regexp_matches(line, '^Th') AS verb FROM s),
 w AS (SELECT unit, verb, CASE WHEN verb THEN 'none' WHEN alt_cue AND NOT own_cue THEN 'alt' WHEN own_cue AND NOT alt_cue THEN 'own' ELSE 'none' END AS vote FROM v)
 SELECT unit, 'x' AS word, CASE WHEN count(DISTINCT vote) FILTER (vote <> 'none') <> 1 OR bool_or(verb) THEN 'none' ELSE min(vote) FILTER (vote <> 'none') END AS kind, count(*) AS n_votes FROM w GROUP BY unit""")
 def sense_votes(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("unit"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     cue = lambda w: F.col("line").rlike(tx.whole_word(w))
     return context.votes(lines.select("unit", F.lit("x").alias("word"), "pos", cue("of").alias("own_cue"), cue("to").alias("alt_cue"), F.col("line").rlike("^Th").alias("verb"), F.lit("none").alias("fallback")))
 
 
-@query("""WITH k AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS key FROM documents), l AS (SELECT doc_id AS id, key FROM k WHERE doc_id % 2 = 0), r AS (SELECT doc_id AS value, doc_id AS ord, left(key, 400) AS key FROM k WHERE doc_id % 2 = 1),
-c AS (SELECT id, value, ord, 1 AS tier FROM l JOIN r USING (key) UNION ALL SELECT id, value, ord, 2 FROM l JOIN r ON left(l.key, 40) = left(r.key, 40) WHERE len(l.key) >= 40 AND len(r.key) >= 40 AND (starts_with(l.key, r.key) OR starts_with(r.key, l.key)))
-SELECT id, value, CAST(tier AS BIGINT) AS tier FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, ord) = 1""")
+@query("""WITH l AS (SELECT doc_id AS id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS a FROM documents), r AS (SELECT item_id AS value, regexp_replace(lower(text), '[^a-z]', '', 'g') AS b FROM benchmark), p AS (SELECT id, value, a, b FROM l JOIN r ON left(a, 40) = left(b, 40) WHERE len(a) >= 40 AND len(b) >= 40),
+s AS (SELECT id, min(value) AS value FROM p WHERE len(b) BETWEEN len(a) + 1 AND len(a) + 400 AND regexp_matches(b, array_to_string(string_split(a, ''), '[a-z]*')) GROUP BY id HAVING count(DISTINCT b) = 1),
+c AS (SELECT id, value, 1 AS tier FROM l JOIN r ON a = b UNION ALL SELECT id, value, 2 FROM p WHERE starts_with(a, b) OR starts_with(b, a) UNION ALL SELECT id, value, 3 FROM s),
+f AS (SELECT id, value, CAST(tier AS BIGINT) AS tier FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, value) = 1) SELECT id, value, tier FROM l LEFT JOIN f USING (id)""")
 def key_lookup_tiers(spark, sf_dir):
-    keys = table(spark, sf_dir, "documents").select("doc_id", tx.paragraph_key(F.col("text")).alias("key"))
-    left = keys.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "key")
-    right = keys.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("value"), F.col("doc_id").alias("ord"), F.substring("key", 1, 400).alias("key"))
-    return matching.key_lookup(left, right)
-
-
-@query()
-def key_lookup_benchmark(spark, sf_dir):
     # All documents, with nulls where nothing matches.
     left = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.paragraph_key(F.col("text")).alias("key"))
     right = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("value"), F.col("item_id").alias("ord"), tx.paragraph_key(F.col("text")).alias("key"))
@@ -183,7 +176,7 @@ w AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY quality
 SELECT doc_id, source, n_chars, CAST(quality AS INTEGER) AS quality FROM w WHERE b * 100 < greatest(t, 1) * 20""")
 def hybrid_pick_budget(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return selection.greedy_budget(rows, "n_chars", 20, F.asc_nulls_last("quality"), "doc_id", group="source").select("doc_id", "source", "n_chars", "quality")
+    return selection.greedy_budget(rows, "n_chars", 20, F.col("quality").isNull(), F.col("quality"), F.col("doc_id"), group="source").select("doc_id", "source", "n_chars", "quality")
 
 
 @query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
@@ -422,15 +415,9 @@ def acronyms_first8(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.acronyms(F.col("text"))).alias("acronym"))
 
 
-@query("""WITH k AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 <> 0), i AS (SELECT o_custkey % 100 AS g, o_orderkey AS v FROM k), s AS (SELECT g, v, v - row_number() OVER (PARTITION BY g ORDER BY v) AS island FROM i)
-SELECT CAST(g AS BIGINT) AS g, min(v) AS first, max(v) AS last, count(*) AS n FROM s GROUP BY g, island""")
-def islands_chunks(spark, sf_dir):
-    return order_islands(table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0"))
-
-
 @query("""WITH k AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders), i AS (SELECT o_custkey % 100 AS g, o_orderkey AS v FROM k), s AS (SELECT g, v, v - row_number() OVER (PARTITION BY g ORDER BY v) AS island FROM i)
 SELECT CAST(g AS BIGINT) AS g, min(v) AS first, max(v) AS last, count(*) AS n FROM s GROUP BY g, island""")
-def islands_chunks_all(spark, sf_dir):
+def islands_chunks(spark, sf_dir):
     return order_islands(table(spark, sf_dir, "orders"))
 
 
@@ -495,14 +482,8 @@ def part_edges(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 1 + F.col("l_partkey") % 3).alias("b")).distinct()
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_suppkey + 1 + l_partkey % 3 AS b FROM lineitem WHERE l_partkey % 40 = 0), n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT DISTINCT a AS node, a AS root FROM n UNION SELECT n.b, r.root FROM r JOIN n ON n.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
-def connected_components(spark, sf_dir):
-    return layout.connected(part_edges(table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = 0")))
-
-
 @query()
-def connected_components_all(spark, sf_dir):
+def connected_components(spark, sf_dir):
     # All rows form large components, for which recursive SQL is too slow.
     return layout.connected(part_edges(table(spark, sf_dir, "lineitem")))
 

@@ -12,11 +12,11 @@ from textloom.plans.catalogue import query, table, turn_pairs
 _TURN_SQL = "p AS (SELECT a.conv_id, a.turn, a.text AS src, b.text AS out FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"
 
 
-@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en'),
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
 s AS (SELECT word, [CASE WHEN word LIKE '%ies' THEN left(word, len(word) - 3) || 'y' END, CASE WHEN word LIKE '%es' THEN left(word, len(word) - 2) END, CASE WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN left(word, len(word) - 1) END] AS f FROM w WHERE word LIKE '%s')
 SELECT word, form FROM (SELECT word, unnest(f) AS form FROM s) WHERE form IN (SELECT word FROM w)""")
 def known_singulars(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word")).distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word")).distinct()
     forms = words.filter(F.col("word").endswith("s")).select("word", F.explode(tx.singulars(F.col("word"))).alias("form"))
     return forms.join(words.withColumnRenamed("word", "form"), "form", "left_semi").select("word", "form")
 
@@ -80,15 +80,9 @@ def best_version_per_page(spark, sf_dir):
     return runs.best_version(table(spark, sf_dir, "lineitem"), "l_partkey", "l_linenumber", "l_quantity")
 
 
-@query("""WITH p AS (SELECT DISTINCT o_custkey % 50 AS book, o_orderkey // 4 AS page FROM orders WHERE o_orderkey % 7 < 5), i AS (SELECT book, page, page - row_number() OVER (PARTITION BY book ORDER BY page) AS island FROM p), c AS (SELECT *, (row_number() OVER (PARTITION BY book, island ORDER BY page) - 1) // 3 AS part FROM i)
-SELECT book, min(page) AS first, max(page) AS last FROM c GROUP BY book, island, part""")
-def page_ranges(spark, sf_dir):
-    return order_pages(table(spark, sf_dir, "orders").filter("o_orderkey % 7 < 5"))
-
-
 @query("""WITH p AS (SELECT DISTINCT o_custkey % 50 AS book, o_orderkey // 4 AS page FROM orders), i AS (SELECT book, page, page - row_number() OVER (PARTITION BY book ORDER BY page) AS island FROM p), c AS (SELECT *, (row_number() OVER (PARTITION BY book, island ORDER BY page) - 1) // 3 AS part FROM i)
 SELECT book, min(page) AS first, max(page) AS last FROM c GROUP BY book, island, part""")
-def page_ranges_all(spark, sf_dir):
+def page_ranges(spark, sf_dir):
     return order_pages(table(spark, sf_dir, "orders"))
 
 
