@@ -5,9 +5,9 @@ import os
 import pytest
 
 from tests import oracle
-from textloom.plans import books, catalogue, layouts, more
+from textloom.plans import blocks, books, catalogue, layouts, more
 
-assert books and more and layouts  # adds to the catalogue
+assert blocks and books and more and layouts  # adds to the catalogue
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: Queries that find nothing in the smallest tables.
 EMPTY_ON_SMALLEST = {"sentence_zip"}
