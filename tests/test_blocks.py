@@ -1,11 +1,13 @@
 """Markup, blocks of pages, terms and models: small cases and brute force."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from textloom.functions import markup, models
 from textloom.operators import listings, terms
+from textloom.sources import files, sinks
 
 
 def one(spark, column, **values):
@@ -96,3 +98,25 @@ def test_known_terms_and_subsets(spark):
     assert {r.term for r in got} == {"data token", "news", "token data"}
     entries = spark.createDataFrame([("a", "t", "1", 1), ("keep", "t", "2", 2), ("b", "t", "3", 3)], "domain string, term string, target string, ord long")
     assert [tuple(r) for r in terms.glossary_subset(entries, ["a"], ["keep"]).collect()] == [("t", "2")]
+
+
+def test_built_books_are_read_back(spark):
+    blocks = [("b", 1, 1, "p", None, "<p>Before all</p>"), ("b", 2, 1, "h1", "One & 1", "<h1>One</h1>"), ("b", 3, 2, "h1", "more", "<h1>more</h1>"), ("b", 4, 2, "p", None, "<p>Text of one</p>"), ("b", 5, 3, "h1", "Two", "<h1>Two</h1>"), ("b", 6, None, "p", None, "<p>Text of two</p>")]
+    df = spark.createDataFrame(blocks, "name string, ord long, page long, tag string, title string, html string").repartition(3)
+    books = sinks.built_books(df)
+    content = bytes(books.first().content)
+    assert content == sinks.packed_book("b", [("b", '<span epub:type="pagebreak" id="p1"></span><p>Before all</p>'), ("One & 1 more", '<h1>One</h1>\n<span epub:type="pagebreak" id="p2"></span><h1>more</h1>\n<p>Text of one</p>'), ("Two", '<span epub:type="pagebreak" id="p3"></span><h1>Two</h1>\n<p>Text of two</p>')])
+    assert content[30:38] == b"mimetype" and b"application/epub+zip" in content[:80]
+    units = [(r.ch, r.is_head, r.text) for r in files.book_units(books).orderBy("unit_no").collect()]
+    assert [u for u in units if u[0] == 0][-1][2].endswith("Before all") and (2, False, "Text of two") in units and (1, True, "more") in units
+    assert sinks.built_books(df.limit(0)).count() == 0
+
+
+def test_parts_trees_and_restrictions(spark, tmp_path):
+    members = spark.createDataFrame([("b", "x_split_001.html", "2"), ("b", "x_split_000.html", "1"), ("b", "y.html", "3")], "book string, name string, html string")
+    assert {(r.key, r.html) for r in files.joined_parts(members).collect()} == {("x.html", "12"), ("y.html", "3")}
+    (tmp_path / "t.json").write_text(json.dumps({"texts": [{"label": "p"}, {"label": "code"}], "pictures": [], "groups": [{"children": [1]}]}, indent=1))
+    got = {(r.file, r.part, r.at): json.loads(r.node) for r in files.layout_nodes(spark, str(tmp_path)).collect()}
+    assert got == {("t.json", "texts", 0): {"label": "p"}, ("t.json", "texts", 1): {"label": "code"}, ("t.json", "groups", 0): {"children": [1]}}
+    pages = spark.createDataFrame([("a", 1), ("a", 7), ("b", 3)], "name string, page long")
+    assert files.restricted(pages, "1-3", ["a"]).count() == 1 and files.restricted(pages).count() == 3

@@ -80,3 +80,26 @@ def listed_models(models: DataFrame, preferred: list[str], hidden: list[str]) ->
     rank = F.coalesce(*[F.when(F.col("name") == n, F.lit(k)) for k, n in enumerate(preferred)], F.lit(len(preferred)))
     # A list of models is short: one task orders it.
     return shown.select("name", F.row_number().over(Window.orderBy(rank, "name")).cast("long").alias("place"))
+
+
+def listed_outputs(files: DataFrame) -> DataFrame:
+    """Files (folder, name, size) that a user is shown: neither hidden nor working files, with their place among the folder's."""
+    shown = files.filter(~F.col("name").startswith(".") & ~F.col("name").startswith("work"))
+    return shown.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy("name")).cast("long"))
+
+
+def text_sources(books: DataFrame, derived: DataFrame, sampled: DataFrame) -> DataFrame:
+    """books (book) with text and whole: the derived text if there is one, else the sampled original (both: book, text)."""
+    one, other = derived.select("book", F.col("text").alias("_derived")), sampled.select("book", F.col("text").alias("_sampled"))
+    joined = books.join(one, "book", "left").join(other, "book", "left")
+    return joined.withColumns({"text": F.coalesce("_derived", "_sampled"), "whole": F.col("_derived").isNotNull()}).drop("_derived", "_sampled")
+
+
+def resumable(jobs: DataFrame, interrupted: DataFrame) -> DataFrame:
+    """jobs (book, model, fresh) with conflict: the book's interrupted run had another model and the job isn't to begin anew.
+
+    interrupted: book, model; a model that was not recorded (null) is no conflict.
+    """
+    before = interrupted.select("book", F.col("model").alias("interrupted"))
+    conflict = ~F.col("fresh") & F.coalesce(F.col("interrupted") != F.col("model"), F.lit(False))
+    return jobs.join(before, "book", "left").withColumn("conflict", conflict)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import ngrams
 from textloom.operators.books import lemmas
 
 
@@ -56,3 +57,27 @@ def word_scores(counts: DataFrame, total: Column, zipf: DataFrame, known: DataFr
     )
     score = F.when(joined, spread * (3.5 - F.col("least_z") / 2)).when(rare, spread * (3.5 - F.coalesce("z", F.lit(0.5)))).otherwise(key * spread)
     return rows.select(kind.alias("kind"), F.col("orig").alias("term"), "n", "books", F.coalesce("least_z", "z").alias("z"), F.round(score, 6).alias("score")).filter("kind is not null")
+
+
+def phrase_scores(lists: DataFrame, counts: DataFrame, total: Column, zipf: DataFrame, known: DataFrame, stop: list[str], code: list[str] = (), least: int = 3) -> DataFrame:
+    """kind, term, n, books and score of pairs of words that no glossary knows and that stick together.
+
+    lists: book and t, the tokens of a text in lower case; counts, zipf and known
+    as for ``word_scores``.  No word of a pair is a stop word or one of ``code``;
+    short words must be common and long ones known.  A pair is at least 8 per
+    cent of its rarer word, and its words are more frequent here than elsewhere.
+    """
+    word = counts.select("word", F.col("n").alias("c"), "orig", (F.col("n") / total * 1e6).alias("pm")).join(zipf.select("word", "z"), "word", "left").join(lemmas(counts.select("word"), zipf), "word")
+    odd = F.col("word").isin([*stop, *code]) | ((F.length("word") < 3) & (F.coalesce("z", F.lit(0.0)) < 3)) | (F.col("z").isNull() & ~F.col("word").contains("-") & (F.length("word") > 10))
+    # How much more frequent, as a power of ten, none below 0.
+    more = F.greatest(F.lit(0.0), F.log10(F.col("pm") + 1e-9) - F.log10(F.pow(F.lit(10.0), F.coalesce("z", F.lit(0.0)) - 3) + 1e-3))
+    word = word.filter(~odd).select("word", "c", F.col("orig").rlike(r"^\p{Lu}").alias("cap"), "lemma", more.alias("more"))
+    grams = lists.select("book", F.explode(ngrams(F.col("t"), 2)).alias("gram")).groupBy("book", "gram").agg(F.count("*").alias("n"))
+    pairs = grams.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("books")).filter(F.col("n") >= least)
+    for side in (1, 2):
+        pairs = pairs.withColumn("word", F.split_part("gram", F.lit(" "), F.lit(side))).join(word.select("word", *[F.col(c).alias(f"{c}{side}") for c in ("c", "cap", "lemma", "more")]), "word").drop("word")
+    unknown = pairs.withColumn("term", F.concat_ws(" ", "lemma1", "lemma2")).join(known.select("term").distinct(), "term", "left_anti")
+    stick, spec = F.col("n") / F.least("c1", "c2"), (F.col("more1") + F.col("more2")) / 2
+    kept = unknown.withColumns({"stick": stick, "spec": spec}).filter("stick >= 0.08 and spec >= 0.4")
+    score = F.log(F.col("n") + 1) * (1 + F.col("books")) * F.col("stick") * (1 + F.col("spec"))
+    return kept.select(F.when(F.col("cap1") & F.col("cap2"), "name?").otherwise("phrase").alias("kind"), F.col("gram").alias("term"), "n", "books", F.round(score, 6).alias("score"))

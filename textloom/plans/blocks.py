@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import markup, models
 from textloom.functions import text as tx
-from textloom.operators import listings, terms
+from textloom.operators import listings, runs, terms
 from textloom.plans.catalogue import _BOXES, points_of, query, table, turn_pairs
 
 # ---- marks and markup
@@ -215,6 +215,27 @@ def term_scores(spark, sf_dir):
     return terms.word_scores(counts.crossJoin(F.broadcast(total)), F.col("total"), zipf, known, _STOP)  # one row
 
 
+_TOKEN = r"'[A-Za-z][A-Za-z0-9]*(?:[-''’][A-Za-z0-9]+)*(?:[+#]+)?'"
+
+
+@query(rf"""WITH l AS (SELECT source AS book, list_transform(regexp_extract_all(text, {_TOKEN}), lambda x: lower(x)) AS t, regexp_extract_all(text, {_TOKEN}) AS raw FROM documents), f AS (SELECT lower(token) AS word, token, count(*) AS n FROM (SELECT unnest(raw) AS token FROM l) GROUP BY ALL),
+c AS (SELECT word, CAST(sum(n) AS BIGINT) AS c, arg_min(token, (-n, token)) AS orig FROM f GROUP BY word), z AS (SELECT word, round(log10(count(*) + 1) + 2, 6) AS z FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) GROUP BY word),
+cut AS (SELECT c.*, z.z, CASE WHEN len(c.word) > 4 AND c.word LIKE '%ies' THEN left(c.word, len(c.word) - 3) || 'y' WHEN len(c.word) > 4 AND regexp_matches(c.word, '(ss|sh|ch|x|z)es$') THEN left(c.word, len(c.word) - 2) WHEN len(c.word) > 3 AND c.word LIKE '%s' AND NOT regexp_matches(c.word, '(ss|us|is)$') THEN left(c.word, len(c.word) - 1) END AS cut FROM c LEFT JOIN z USING (word)),
+w AS (SELECT cut.word, c, regexp_matches(orig, '^\p{{Lu}}') AS cap, CASE WHEN cut IS NOT NULL AND (cut.z IS NULL OR coalesce(y.z, 0) >= cut.z - 0.7) THEN cut ELSE cut.word END AS lemma, greatest(0.0, log10(c / (SELECT sum(c) FROM c) * 1e6 + 1e-9) - log10(pow(10.0, coalesce(cut.z, 0) - 3) + 1e-3)) AS more FROM cut LEFT JOIN z y ON y.word = cut
+WHERE NOT (cut.word IN ('the', 'and', 'for', 'that', 'with', 'of', 'void') OR (len(cut.word) < 3 AND coalesce(cut.z, 0) < 3) OR (cut.z IS NULL AND NOT contains(cut.word, '-') AND len(cut.word) > 10))),
+g AS (SELECT a, b, count(*) AS n, count(DISTINCT book) AS books FROM (SELECT book, unnest(t[:-2]) AS a, unnest(t[2:]) AS b FROM l WHERE len(t) >= 2) GROUP BY a, b HAVING count(*) >= 3),
+j AS (SELECT g.a || ' ' || g.b AS term, n, books, x.cap AND y.cap AS cap, n / least(x.c, y.c) AS stick, (x.more + y.more) / 2 AS spec FROM g JOIN w x ON x.word = a JOIN w y ON y.word = b WHERE x.lemma || ' ' || y.lemma NOT IN (SELECT lower(p_type) FROM part))
+SELECT CASE WHEN cap THEN 'name?' ELSE 'phrase' END AS kind, term, n, books, round(ln(n + 1) * (1 + books) * stick * (1 + spec), 6) AS score FROM j WHERE stick >= 0.08 AND spec >= 0.4""")
+def phrase_scores(spark, sf_dir):
+    tokens = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), tx.term_tokens(F.col("text")).alias("raw"))
+    counts = terms.word_counts(tokens.select("book", F.explode("raw").alias("token")))
+    zipf = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word")).groupBy("word").agg(F.round(F.log10(F.count("*") + 1) + 2, 6).alias("z"))
+    lists = tokens.select("book", F.transform("raw", lambda t: F.lower(t)).alias("t"))
+    known = table(spark, sf_dir, "part").select(F.lower("p_type").alias("term")).distinct()
+    total = counts.agg(F.sum("n").cast("double").alias("total"))
+    return terms.phrase_scores(lists, counts.crossJoin(F.broadcast(total)), F.col("total"), zipf, known, [*_STOP, "of"], ["void"])  # one row
+
+
 def _share(source: list, out: list) -> list[float]:
     return [len(o) / (len(s) + len(o) + 1) for s, o in zip(source, out, strict=True)]
 
@@ -262,3 +283,29 @@ def distinct_sketch(spark, sf_dir):
     # A sketch of 2^12 registers, held against the exact count.
     by = table(spark, sf_dir, "documents").groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("about"), F.count_distinct("text").alias("n"))
     return by.select("lang", (F.abs(F.col("about") - F.col("n")) <= 0.1 * F.col("n") + 1).alias("close"), "n")
+
+
+# ---- runs
+
+
+@query("""WITH f AS (SELECT o_custkey AS folder, CASE WHEN o_orderkey % 7 = 0 THEN '.lock' WHEN o_orderkey % 7 = 1 THEN 'work.' ELSE '' END || o_orderkey AS name FROM orders) SELECT folder, name, row_number() OVER (PARTITION BY folder ORDER BY name) AS place FROM f WHERE name NOT LIKE '.%' AND name NOT LIKE 'work%'""")
+def listed_outputs(spark, sf_dir):
+    key = F.col("o_orderkey")
+    lead = F.when(key % 7 == 0, ".lock").when(key % 7 == 1, "work.").otherwise("")
+    return runs.listed_outputs(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("folder"), F.concat(lead, key.cast("string")).alias("name")))
+
+
+@query("SELECT d.doc_id AS book, coalesce(b.text, left(d.text, 100)) AS text, b.item_id IS NOT NULL AS whole FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
+def text_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"), F.substring("text", 1, 100).alias("text"))
+    derived = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("book"), "text")
+    return runs.text_sources(docs.select("book"), derived, docs)
+
+
+@query("""SELECT o_orderkey AS book, 'm' || o_orderkey % 3 AS model, o_orderkey % 5 = 0 AS fresh, i.model AS interrupted, o_orderkey % 5 <> 0 AND coalesce(i.model <> 'm' || o_orderkey % 3, false) AS conflict FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS book, CASE WHEN l_orderkey % 4 <> 0 THEN 'm' || l_orderkey % 2 END AS model FROM lineitem) i ON book = o_orderkey""")
+def resumable_jobs(spark, sf_dir):
+    key = F.col("o_orderkey")
+    jobs = table(spark, sf_dir, "orders").select(key.alias("book"), F.concat(F.lit("m"), (key % 3).cast("string")).alias("model"), (key % 5 == 0).alias("fresh"))
+    line = F.col("l_orderkey")
+    stopped = table(spark, sf_dir, "lineitem").select(line.alias("book"), F.when(line % 4 != 0, F.concat(F.lit("m"), (line % 2).cast("string"))).alias("model")).distinct()
+    return runs.resumable(jobs, stopped)

@@ -120,3 +120,26 @@ def book_units(books: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["name", "ch", "sec", "unit_no", "is_head", "text"])
 
     return books.select("name", "content").mapInArrow(read, "name string, ch int, sec int, unit_no int, is_head boolean, text string")
+
+
+def joined_parts(members: DataFrame) -> DataFrame:
+    """book, key and html: members (book, name, html) cut into ``_split_000`` pieces put together again in the order of their names."""
+    key = F.regexp_replace("name", r"_split_\d+", "")
+    pieces = F.array_sort(F.collect_list(F.struct("name", "html")))["html"]
+    return members.groupBy("book", key.alias("key")).agg(F.array_join(pieces, "").alias("html"))
+
+
+def layout_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """file, part, at and node (JSON) of layout trees: their texts, pictures, tables and groups, each by its place."""
+    parts = ("texts", "pictures", "tables", "groups")
+    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.from_json("value", ", ".join(f"{p} array<string>" for p in parts)).alias("tree"))
+    each = [whole.select("file", F.lit(p).alias("part"), F.posexplode(f"tree.{p}").alias("at", "node")) for p in parts]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+def restricted(rows: DataFrame, pages: str | None = None, only: list[str] | None = None) -> DataFrame:
+    """rows of the pages "first-last" (column page) and of the named files (column name): filters that reach the scan."""
+    if pages:
+        first, last = map(int, pages.split("-"))
+        rows = rows.filter(F.col("page").between(first, last))
+    return rows.filter(F.col("name").isin(only)) if only else rows
