@@ -1,6 +1,7 @@
 """Operators on rows written here, for what the driver's tables do not hold."""
 
 import io
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -310,3 +311,19 @@ def test_ranks_and_budget_with_nulls_ties_and_no_rows(spark):
     assert {r.g: r.rho for r in statistics.spearman(rows, "g", "a", "b").collect()} == {"g": 1.0, None: None}
     assert statistics.spearman(rows.limit(0), "g", "a", "b").count() == 0
     assert selection.greedy_budget(rows.limit(0), "b", 20, "a", group="g").count() == 0
+
+
+def test_sections_and_neighbours_of_long_books(spark, monkeypatch):
+    monkeypatch.setattr(context, "STRETCH", 5)
+    rng = random.Random(5)
+    rows = [(b, n % 3 and "x" or None, n * 2, rng.random() < 0.2, rng.randrange(9), rng.randrange(9)) for b, size in (("a", 700), (None, 12), ("c", 1)) for n in range(size)]
+    df = spark.createDataFrame(rows, "book string, ch string, unit_no long, head boolean, own long, alt long").repartition(3)
+    got = {(r.book, r.unit_no): r for r in context.context_counts(context.with_sections(df, "book", "unit_no", F.col("head"))).collect()}
+    assert len(got) == len(rows)
+    for book in ("a", None, "c"):
+        own = [r for r in rows if r[0] == book]
+        secs = [sum(r[3] for r in own[: k + 1]) for k in range(len(own))]
+        for k, r in enumerate(own):
+            g = got[book, r[2]]
+            assert (g.pos, g.sec, g.own_near, g.alt_near) == (k, secs[k], sum(x[4] for x in own[max(0, k - 2) : k + 3]), sum(x[5] for x in own[max(0, k - 2) : k + 3]))
+            assert g.own_sec == sum(x[4] for x, s in zip(own, secs) if s == secs[k]) and g.alt_ch == sum(x[5] for x in own if x[1] == r[1])

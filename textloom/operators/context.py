@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import ranges
+
 
 def neighbour_sums(units: DataFrame, book: str, order: str, value: str, reach: int = 2) -> Column:
     """The sum of a value over a unit and ``reach`` units on either side of it, across sections."""
@@ -16,11 +18,42 @@ def section_number(book: str, order: str, is_head: Column) -> Column:
     return F.sum(is_head.cast("long")).over(Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+#: Rows of a book that one task takes at a time for sums over neighbours.
+STRETCH = 10_000
+
+
+def with_sections(units: DataFrame, book: str, order: str, is_head: Column) -> DataFrame:
+    """units with pos, the place in the book from 0, and sec, how many headings have come so far, itself among them.
+
+    A book is worked on in ranges of its order (numbers, different within a book), so one of any length is no task of its own.
+    """
+    marked = units.withColumns({"_one": F.lit(1), "_head": F.coalesce(is_head.cast("long"), F.lit(0))})
+    summed = ranges.running_sums(marked, [book], F.col(order), ["_one", "_head"], ranges.number_cuts(units, [book], order))
+    return summed.withColumns({"pos": F.col("before__one").cast("long"), "sec": (F.col("before__head") + F.col("_head")).cast("long")}).drop("_one", "_head", "before__one", "before__head", "all__one", "all__head")
+
+
+def near_sums(units: DataFrame, book: str, values: list[str], reach: int = 2) -> DataFrame:
+    """units (pos: places of a book without gaps) with near sums of values, ``reach`` units to either side.
+
+    Stretches of a book are summed apart; units at their ends are lent to the stretch beside them.
+    """
+    at = F.floor(F.col("pos") / STRETCH)
+    reached = F.array_distinct(F.array(at, F.floor((F.col("pos") - reach) / STRETCH), F.floor((F.col("pos") + reach) / STRETCH)))
+    lent = units.withColumn("_own", at).withColumn("_at", F.explode(reached))
+    near = Window.partitionBy(book, "_at").orderBy("pos").rowsBetween(-reach, reach)
+    return lent.withColumns({f"{v}_near": F.sum(v).over(near) for v in values}).filter("_at = _own").drop("_own", "_at")
+
+
 def context_counts(units: DataFrame) -> DataFrame:
-    """Adds near, section and chapter counts of ``own`` and ``alt`` to units of (book, ch, sec, unit_no, own, alt)."""
-    near = Window.partitionBy("book").orderBy("unit_no").rowsBetween(-2, 2)
-    spans = {"near": near, "sec": Window.partitionBy("book", "sec"), "ch": Window.partitionBy("book", "ch")}
-    return units.withColumns({f"{kind}_{name}": F.sum(kind).over(w) for name, w in spans.items() for kind in ("own", "alt")})
+    """Adds near, section and chapter counts of ``own`` and ``alt`` to units of (book, ch, sec, unit_no, pos, own, alt).
+
+    Sections and chapters are summed before they are joined, so that a large one isn't a task of its own.
+    """
+    made = near_sums(units, "book", ["own", "alt"])
+    for name in ("sec", "ch"):
+        sums = units.groupBy("book", name).agg(*[F.sum(kind).alias(f"{kind}_{name}") for kind in ("own", "alt")])
+        made = ranges.equal_keys(made, sums, ["book", name])
+    return made
 
 
 def ladder(levels: list[tuple[Column, Column]]) -> Column:

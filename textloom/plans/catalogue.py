@@ -127,7 +127,8 @@ def counted_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     head = F.pmod(F.col("doc_id"), F.lit(7)) == 0
     units = docs.select(F.col("source").alias("book"), F.col("lang").alias("ch"), F.col("doc_id").alias("unit_no"), head.alias("head"), tx.count_word(F.lower("text"), "the").alias("own"), tx.count_word(F.lower("text"), "of").alias("alt"))
-    return units.withColumn("sec", context.section_number("book", "unit_no", F.col("head")))
+    # Texts are read once; what follows takes the counts several times.
+    return context.with_sections(units.checkpoint(), "book", "unit_no", F.col("head"))
 
 
 _UNITS = r"""u0 AS (SELECT source AS book, lang AS ch, doc_id AS unit_no, doc_id % 7 = 0 AS head, CAST(len(regexp_extract_all(lower(text), '\bthe\b')) AS BIGINT) AS own, CAST(len(regexp_extract_all(lower(text), '\bof\b')) AS BIGINT) AS alt FROM documents),
