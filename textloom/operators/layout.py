@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +29,28 @@ def nearest_line(marks: DataFrame, lines: DataFrame) -> DataFrame:
 def cluster_lines(words: DataFrame, reach: float = 2.5) -> DataFrame:
     """Numbers the visual lines of each page: a word starts a line if its top is more than ``reach`` from the line's first word.
 
-    The anchor is the line's first word, so that no fixed window can tell it; a
-    page's words, a bounded group, are folded in order.
+    The anchor is the line's first word, so that no fixed window can tell it.
+    Words are sorted by page and top and folded as they stream by in Arrow
+    batches, of which a page may fill many; a task calls Python once, not once a
+    page.  Words without a top are of their page's last line.
     """
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "id"], kind="stable")
-        anchor, line, out = None, -1, []
-        for top in page["top"]:
-            if anchor is None or abs(top - anchor) > reach:
-                anchor, line = top, line + 1
-            out.append(line)
-        return page.assign(line=out)[["page", "id", "line"]]
-
-    return words.select("page", "id", "top").groupBy("page").applyInPandas(fold, "page long, id long, line long")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, anchor, line = object(), None, 0
+        for batch in batches:
+            out = []
+            for page, top in zip(batch["page"].to_pylist(), batch["top"].to_pylist(), strict=True):
+                if page != now:
+                    now, anchor, line = page, top, 0
+                elif top is not None and top - anchor > reach:
+                    anchor, line = top, line + 1
+                out.append(line)
+            yield pa.RecordBatch.from_arrays([batch["page"], batch["id"], pa.array(out, pa.int64())], ["page", "id", "line"])
+
+    placed = words.select(*[F.col(c).cast("long").alias(c) for c in ("page", "id")], F.col("top").cast("double").alias("top"))
+    # Words of equal top are of one line, in whatever order they come.
+    ordered = placed.repartition("page").sortWithinPartitions("page", F.asc_nulls_last("top"))
+    return ordered.mapInArrow(fold, "page long, id long, line long")
 
 
 def gap_blocks(keys: list[str], order: str, value: Column, gap: float) -> Column:
