@@ -4,8 +4,11 @@ import io
 import random
 import zipfile
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from tests import oracle
 from textloom.functions import predicates
 from textloom.functions import text as tx
 from textloom.operators import books, context, glossary, layout, matching, multisets, pages, ranges, selection, statistics
@@ -343,3 +346,26 @@ def test_sections_and_neighbours_of_long_books(spark, monkeypatch):
             g = got[book, r[2]]
             assert (g.pos, g.sec, g.own_near, g.alt_near) == (k, secs[k], sum(x[4] for x in own[max(0, k - 2) : k + 3]), sum(x[5] for x in own[max(0, k - 2) : k + 3]))
             assert g.own_sec == sum(x[4] for x, s in zip(own, secs) if s == secs[k]) and g.alt_ch == sum(x[5] for x in own if x[1] == r[1])
+
+
+def _lineitem(spark, tmp_path, parts):
+    """A folder with a table lineitem of a file for each part."""
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / f"part{k}").glob("*.parquet")).rename(tmp_path / f"lineitem.parquet/part-{k}.parquet")
+    return str(tmp_path)
+
+
+def test_callouts_of_equal_place_go_by_side_and_nulls_come_last(spark, tmp_path):
+    # Page 1 has two lines numbered 7 of one top on either side: whichever file they are read from first, the left one leads.
+    apart = [[(1, 7, 19.0, 99), (2, 7, 19.0, 380), (3, 1, None, 2), (4, 1, 5.0, 2)], [(1, 2, 13.0, 912), (1, 7, 19.0, 380), (1, 5, 22.0, 43), (2, 2, 13.0, 912), (2, 7, 19.0, 99), (2, 5, 22.0, 43), (3, 2, 30.0, 2), (4, None, 5.0, 3)]]
+    # The query's SQL, with x behind its ORDER BY.
+    full = """WITH g AS (SELECT l_orderkey AS page, l_linenumber AS no, CAST(l_extendedprice AS DOUBLE) % 60 AS top, l_suppkey % 2 AS x FROM lineitem), o AS (SELECT *, lag(top) OVER w AS t, lag(x) OVER w AS lx FROM g WINDOW w AS (PARTITION BY page ORDER BY top, no, x)),
+s AS (SELECT page, no, CASE WHEN t IS NULL OR top - t >= 8 OR x <> lx THEN 1 ELSE 0 END AS new, top, x FROM o) SELECT page, no, CAST(sum(new) OVER (PARTITION BY page ORDER BY top, no, x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS callout FROM s"""
+    sf_dir = _lineitem(spark, tmp_path, apart)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{sf_dir}/lineitem.parquet/*.parquet'")
+    assert oracle.compare(spark, db, __spark_entry__.queries()["callout_groups"], full, sf_dir) is None
+    one = sorted((r.no, r.callout) for r in __spark_entry__.queries()["callout_groups"](spark, sf_dir).filter("page = 1").collect())
+    assert one == [(2, 1), (5, 2), (7, 1), (7, 2)]
