@@ -378,3 +378,14 @@ def test_lines_that_end_in_digits_do_not_stand_for_numbered_ones(spark, tmp_path
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert oracle.compare(spark, db, __spark_entry__.queries()["contents_pages"], __spark_entry__.oracle_sql()["contents_pages"], str(tmp_path)) is None
     assert {r.doc_id: r.numbered for r in __spark_entry__.queries()["contents_pages"](spark, str(tmp_path)).collect()} == {1: 3, 2: 3, 4: 3}
+
+
+def test_headings_have_one_capital_for_one_letter(spark, tmp_path):
+    letters = ["ß", "ŉ", "ﬁ", "ᾳ", "ᾀ", "ΐ", "և", "ǆ", "ƛ", "ɤ", "ё", "ª", "\U00010597", "\U00010428", "\u2c5f", "İ", "ΑΣ", "ΑΣ Σ", "\x0bb", "\u00a0b", " \t\r\n\fb", "1b", "B", ""]
+    rows = [(k, f'<H1 class="ß">{a}ieung</H1> ß <td\n>{a}</td><th>{a}<h7>ß<h1x>ß') for k, a in enumerate(letters)] + [(90, None), (91, ""), (92, "<h1>"), (93, "ß<dt>ß<dt>ß")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert oracle.compare(spark, db, __spark_entry__.queries()["capital_headings"], __spark_entry__.oracle_sql()["capital_headings"], str(tmp_path)) is None
+    got = {r.page_id: r.headed for r in __spark_entry__.queries()["capital_headings"](spark, str(tmp_path)).collect()}
+    assert got[0] == '<h1 class="ß">ẞieung</h1> ß <td\n>ẞ</td><th>ẞ<h7>ß<h1x>ß' and got[93] == "ß<dt>ẞ<dt>ẞ"

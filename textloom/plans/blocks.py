@@ -64,7 +64,9 @@ _CAP_SQL = r"(<(?:h[1-6]|caption|th|td|dt)(?:[^A-Za-z0-9>][^>]*)?>\s*)(\p{Ll})"
 
 @query(f"""WITH p AS (SELECT page_id, lower(html) AS h FROM pages), m AS (SELECT page_id, regexp_extract_all(h, '{_CAP_SQL}') AS w, regexp_extract_all(h, '{_CAP_SQL}', 1) AS t, regexp_extract_all(h, '{_CAP_SQL}', 2) AS l, regexp_split_to_array(h, '{_CAP_SQL}') AS g FROM p) SELECT page_id, {_between("t[i] || upper(l[i])")} AS headed FROM m""")
 def capital_headings(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", markup.capital_headings(F.lower("html")).alias("headed"))
+    # Letter by letter: lower() writes İ as two and Σ by its place in a word.
+    single = F.replace(F.replace("html", F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ"))
+    return table(spark, sf_dir, "pages").select("page_id", markup.capital_headings(F.lower(single)).alias("headed"))
 
 
 @query(r"""SELECT page_id, regexp_matches(replace(html, '<div class=', '<div epub:type='), '<(?:section|body|div)[^A-Za-z>][^>]*(?:data-type="index"|epub:type="[^"]*\bpost\b)') AS is_index FROM pages""")
